@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from genomespark.llm.leaks import shared_passages
 from genomespark.llm.pieces import bisect_pieces, latest_rows, pieces_of_lengths, split_records
 from genomespark.llm.runs import collapse_runs, is_ref_block
+from genomespark.llm.sentences import sentence_units
 from genomespark.llm.tokens import encode_corpus
 from genomespark.runtime import fingerprint, table, without_redeliveries
 
@@ -55,6 +56,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_passages(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_bisected": p1_bisected,
@@ -62,4 +67,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_passages": p9_passages,
+    "p10_found": p10_found,
 }
