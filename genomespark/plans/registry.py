@@ -1,4 +1,7 @@
 """All named queries of the library's operators, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from genomespark.plans import sequence_queries
+
+_BOOKS = [sequence_queries.BOOK]
+QUERIES = {k: v for b in _BOOKS for k, v in b.queries.items()}
+SQL = {k: v for b in _BOOKS for k, v in b.sql.items()}
