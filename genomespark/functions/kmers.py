@@ -45,6 +45,11 @@ def buckets(code: Column) -> Column:
     return F.array(F.struct(F.lit(0).alias("side"), code.bitwiseAND(F.lit(_EVEN)).alias("part")), F.struct(F.lit(1).alias("side"), code.bitwiseAND(F.lit(_ODD)).alias("part")))
 
 
+def blanked(code: Column, k: int) -> Column:
+    """``k`` keys of a code, each with one letter blanked: codes share a key if they differ in that letter at most."""
+    return F.array(*[F.struct(F.lit(i).alias("at"), code.bitwiseAND(F.lit(((1 << 2 * k) - 1) & ~(3 << 2 * i))).alias("rest")) for i in range(k)])
+
+
 def spaced(s: Column, step: int) -> Column:
     """Every ``step``-th letter from the first on."""
     return s if step == 1 else F.regexp_replace(s, f"(?s)(.).{{0,{step - 1}}}", "$1")

@@ -244,24 +244,31 @@ def kmer_min_hamming(spark, sf_dir):
 
 
 def hamming_counts(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """One row (h1, h_many, copy_count, copy_difference) for two tables (kmer, n) by the bucket join.
+    """One row (h1, h_many, copy_count, copy_difference) for two tables (kmer, n).
 
-    The distance of a k-mer to the other set is capped at 2: pairs at distance 1 share an even or odd bucket.
+    The distance of a k-mer to the other set is capped at 2.  Codes that differ in one letter agree once that letter is
+    blanked, so ``k`` keys a k-mer and a semi-join find distance 1 without comparing pairs.
     """
-    near = lambda x, y: _nearest(x, y)
-    one = near(a, b).unionByName(near(b, a))
+    one = _nearest(a, b, k).unionByName(_nearest(b, a, k))
     shared = a.join(b.withColumnRenamed("n", "m"), "kmer")
     far = one.agg(F.count_if(F.col("d") == 1).alias("h1"), F.count_if(F.col("d") == 2).alias("h_many"))
     copies = shared.agg((F.count_if(F.col("n") != F.col("m")) * 2).alias("copy_count"), F.coalesce(F.sum(F.abs(F.col("n") - F.col("m"))), F.lit(0)).alias("copy_difference"))
     return far.join(F.broadcast(copies), F.lit(True))
 
 
-def _nearest(a: DataFrame, b: DataFrame) -> DataFrame:
-    mine = a.select("kmer", K.encode(F.col("kmer")).alias("code"))
-    part = lambda df: df.select("code", F.explode(K.buckets(F.col("code"))).alias("key"))
-    theirs = part(b.select(K.encode(F.col("kmer")).alias("code"))).withColumnRenamed("code", "other")
-    met = part(mine).join(theirs, "key").groupBy("code").agg(F.min(K.hamming(F.col("code"), F.col("other"))).alias("d"))
-    return mine.join(met, "code", "left").select("kmer", F.least(F.coalesce("d", F.lit(2)), F.lit(2)).alias("d"))
+def _nearest(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    alone = a.join(b, "kmer", "left_anti").select("kmer")
+    keys = lambda df: df.select("kmer", F.explode(K.blanked(K.encode(F.col("kmer")), k)).alias("key"))
+    near = keys(alone).join(keys(b).select("key"), "key", "left_semi").select("kmer").distinct().withColumn("d", F.lit(1))
+    return alone.join(near, "kmer", "left").select("kmer", F.coalesce("d", F.lit(2)).alias("d"))
+
+
+@query(f"""WITH {DNA}, {_kmers(6)}, u AS (SELECT DISTINCT {_CODE} AS code FROM kmers), b AS (SELECT 0 AS side, code & CAST(3689348814741910323 AS BIGINT) AS part FROM u UNION ALL SELECT 1, code & CAST(922337203685477580 AS BIGINT) FROM u)
+SELECT side, part, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY side, part""")
+def kmer_evenodd_buckets(spark, sf_dir):
+    """Sizes of the buckets of even and odd letters of all 6-mers."""
+    codes = K.windows(dna(spark, sf_dir).select("seq"), "seq", 6).select(K.encode(F.col("kmer")).alias("code")).distinct()
+    return codes.select(F.explode(K.buckets(F.col("code"))).alias("b")).groupBy("b.side", "b.part").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {DNA}, {_kmers(9)}, a AS (SELECT kmer, count(*) AS n FROM kmers WHERE record_id < 'ctg00_000100' GROUP BY kmer), b AS (SELECT kmer, count(*) AS n FROM kmers WHERE record_id >= 'ctg00_000100' GROUP BY kmer),
