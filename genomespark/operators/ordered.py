@@ -14,7 +14,7 @@ PIECES = 64
 
 
 def with_chunks(df: DataFrame, keys: list[str], position: str, share: float = HEAVY_SHARE, pieces: int = PIECES) -> DataFrame:
-    """Add ``chunk``: 0 for the rows of light groups, else which of ``pieces`` quantiles of position the row lies in.
+    """Add ``_chunk``: 0 for the rows of light groups, else which of ``pieces`` quantiles of position the row lies in.
 
     Chunks are ordered by position and rows of one position share a chunk.  The quantiles come from a mergeable
     sketch over the heavy groups alone, of which there are at most ``ceil(2/share)``: the table of edges is bounded
@@ -27,6 +27,6 @@ def with_chunks(df: DataFrame, keys: list[str], position: str, share: float = HE
         hashed.join(F.broadcast(heavy), "_group", "left_semi").groupBy("_group").agg(F.array_sort(F.array_distinct(F.percentile_approx(position, cuts, 1000))).alias("_edges"))
     )
     below = F.size(F.filter("_edges", lambda e: e < F.col(position)))
-    return hashed.join(F.broadcast(edges), "_group", "left").withColumn("chunk", F.coalesce(F.when(F.col("_edges").isNotNull(), below), F.lit(0))).drop("_group", "_edges")
+    return hashed.join(F.broadcast(edges), "_group", "left").withColumn("_chunk", F.coalesce(F.when(F.col("_edges").isNotNull(), below), F.lit(0))).drop("_group", "_edges")
 
 

@@ -25,7 +25,7 @@ Item = tuple[str, str, bool]
 _QUOTED = r'"(?:[^"]|"")*"'
 _ITEMS = re.compile(rf'(?:{_QUOTED}|[^;|&"]+|")+')
 _VALUES = re.compile(rf'(?:{_QUOTED}|[^,"]+|")+')
-_EQUALS = re.compile(rf'(?:{_QUOTED}|[^="]|")*?=')
+_EQUALS = re.compile(rf'(?:{_QUOTED}|[^="]+|")*+=')
 _WHOLE = re.compile(rf"{_QUOTED}\Z")
 _ALLELE = re.compile(rf'{_QUOTED}|<[^<>]*>|[^\s,;|/"<]+|["<]')
 _STRAY = re.compile(rf"{_QUOTED}")

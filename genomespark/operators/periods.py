@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from genomespark.operators.ordered import with_chunks
+from genomespark.runtime import cut
 
 
 def _merge_sorted(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,20 +67,20 @@ def periods(df: DataFrame, keys: list[str], start: str = "start_pos", end: str =
     """
     sound = df.where(F.col(start) <= F.col(end)).dropna(subset=keys)
     rows = partial_lists(sound, keys, start, end) if lists_first else sound.select(*keys, F.col(start).cast("long"), F.col(end).cast("long"))
-    rows = with_chunks(rows, keys, start)
-    here = Window.partitionBy(*keys, "chunk").orderBy(start, end)
+    rows = with_chunks(cut(rows) if lists_first else rows, keys, start)
+    here = Window.partitionBy(*keys, "_chunk").orderBy(start, end)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
     # one row per chunk: how far the chunks before reach
-    chunks = rows.groupBy(*keys, "chunk").agg(F.max(end).alias("_end"))
-    carry = chunks.select(*keys, "chunk", F.max("_end").over(Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    chunks = rows.groupBy(*keys, "_chunk").agg(F.max(end).alias("_end"))
+    carry = chunks.select(*keys, "_chunk", F.max("_end").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     carry = carry.where("_carry IS NOT NULL")
-    reach = rows.withColumn("_reach", F.max(end).over(before)).join(carry, [*keys, "chunk"], "left").withColumn("_reach", F.greatest("_reach", "_carry"))
+    reach = rows.withColumn("_reach", F.max(end).over(before)).join(carry, [*keys, "_chunk"], "left").withColumn("_reach", F.greatest("_reach", "_carry"))
     opened = reach.withColumn("_opens", F.col("_reach").isNull() | (F.col(start) > F.col("_reach")))
     local = opened.withColumn("_first", F.max(F.when(F.col("_opens"), F.col(start))).over(here.rowsBetween(Window.unboundedPreceding, 0)))
     # rows at the head of a chunk that continue a stretch of an earlier chunk: their stretch is the last one opened there
-    opens = local.groupBy(*keys, "chunk").agg(F.max("_first").alias("_last"))
-    back = opens.select(*keys, "chunk", F.max("_last").over(Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_back")).where("_back IS NOT NULL")
-    named = local.join(back, [*keys, "chunk"], "left").withColumn("_stretch", F.coalesce("_first", "_back"))
+    opens = local.groupBy(*keys, "_chunk").agg(F.max("_first").alias("_last"))
+    back = opens.select(*keys, "_chunk", F.max("_last").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_back")).where("_back IS NOT NULL")
+    named = local.join(back, [*keys, "_chunk"], "left").withColumn("_stretch", F.coalesce("_first", "_back"))
     covered = named.groupBy(*keys, "_stretch").agg(F.max(end).alias("_end")).select(*keys, F.lit("covered").alias("span_kind"), F.col("_stretch").alias(start), F.col("_end").alias(end))
     gaps = opened.where(F.col("_opens") & (F.col(start) > F.col("_reach") + 1)).select(*keys, F.lit("gap").alias("span_kind"), (F.col("_reach") + 1).alias(start), (F.col(start) - 1).alias(end))
     return covered.unionByName(gaps).select(*keys, "span_kind", F.col(start).cast("int").alias(start), F.col(end).cast("int").alias(end))

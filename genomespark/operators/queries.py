@@ -46,7 +46,7 @@ def _profile(df: DataFrame, name: str, row_key: str, aggregates: dict) -> DataFr
     same = without_redeliveries(df, [row_key, "loaded_at"])
     key = clean(name)
     rows = df.withColumn("_key", F.when(key != "*", key)).where("_key IS NOT NULL").select("*", *fingerprint(same))
-    return profile_by_key(rows, "_key", ["_h1", "_h2"], aggregates)
+    return profile_by_key(rows, "_key", ["__h1", "__h2"], aggregates)
 
 
 def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def reject_lines(lines: DataFrame, key: str = "line_key", text: str = "line_text
 
 def valid_lines(lines: DataFrame, key: str = "line_key", text: str = "line_text") -> DataFrame:
     """The valid lines as typed features, with the columns of ``lines`` but the text."""
-    rest = [c for c in lines.columns if c != text and c not in FIELDS]
+    rest = [c for c in lines.columns if c != text and c not in (*FIELDS, "start_pos", "end_pos", "score")]
     split = split_lines(lines, text).where("_structure IS NULL")
     raw = split.select(*rest, *[F.get("_fields", F.lit(i)).alias(n) for i, n in enumerate(FIELDS)])
     typed = raw.select(

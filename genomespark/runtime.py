@@ -37,13 +37,13 @@ def clean(text: Column | str) -> Column:
 
 
 def fingerprint(columns: list[str]) -> list[Column]:
-    """Two 64-bit hashes over the columns, nulls included, as ``_h1`` and ``_h2``.
+    """Two 64-bit hashes over the columns, nulls included, as ``__h1`` and ``__h2``.
 
     The hash function skips nulls, so a bit string of the null places goes in first; the two hashes start from
     different literals and are in practice a 128-bit fingerprint.
     """
     nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
-    return [F.xxhash64(F.lit(seed), nulls, *columns).alias(name) for seed, name in ((17, "_h1"), (7_919, "_h2"))]
+    return [F.xxhash64(F.lit(seed), nulls, *columns).alias(name) for seed, name in ((17, "__h1"), (7_919, "__h2"))]
 
 
 def without_redeliveries(df: DataFrame, ignoring: list[str]) -> list[str]:
