@@ -36,7 +36,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     needed = ["sample_name", "contig", "start_pos", "end_pos", "is_ref_block", "genotype"]
     once = (
         rows.select(*fingerprint(same), "variant_id", "loaded_at", *needed)
-        .groupBy("_h1", "_h2")
+        .groupBy("__h1", "__h2")
         .agg(F.min_by(F.struct("variant_id", *needed), F.struct("loaded_at", "variant_id")).alias("r"))
         .select("r.*")
     )

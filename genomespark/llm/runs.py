@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genomespark.operators.ordered import with_chunks
+from genomespark.runtime import cut
 
 
 def is_ref_block(flag: str, genotype: str) -> Column:
@@ -21,40 +22,33 @@ def collapse_runs(df: DataFrame, keys: list[str], start: str, end: str, tie: str
     and at most ``max_gap`` uncovered positions lie between the run's furthest end and its start.  Rows with a null key
     or position are left out; an end before its start counts as the start.
 
-    Within a chunk only boundary rows are kept: rows that open a run or end one.  ``lead`` over their row numbers gives
-    the counts, and the furthest end seen before the next boundary gives the stretch.  Runs that reach the edge of a
-    chunk are joined in a second step, which sees two rows a chunk at most.
+    Within a chunk only boundary rows are kept: rows that open a run, that go on with the run of the chunk before, or
+    that end one.  ``lead`` over their row numbers gives the counts, and the furthest end seen before the next boundary
+    gives the stretch.  What chunks must know of those before them (strangers so far, how far the open run reaches,
+    runs so far) is one row a chunk.
     """
     rows = df.dropna(subset=[*keys, start, end]).select(*keys, F.col(start).alias("_s"), F.greatest(start, end).alias("_e"), F.col(tie).alias("_t"), member.alias("_m"))
-    rows = with_chunks(rows, keys, "_s")
-    here = Window.partitionBy(*keys, "chunk").orderBy("_s", "_e", "_t")
+    rows = cut(with_chunks(rows, keys, "_s"))
+    group = [*keys, "_chunk"]
+    here, whole, earlier = Window.partitionBy(*group).orderBy("_s", "_e", "_t"), Window.partitionBy(*group), Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     upto, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+
     # members of one streak share the number of strangers before them; starts ascend, so ends of earlier runs do not matter
-    streak = rows.withColumn("_k", F.sum(F.when(F.col("_m"), 0).otherwise(1)).over(upto)).withColumn("_n", F.row_number().over(here))
-    reach = streak.withColumn("_far", F.max(F.when(F.col("_m"), F.struct("_k", "_e"))).over(before))
-    linked = (F.col("_far._k") == F.col("_k")) & (F.col("_s") - F.col("_far._e") - 1 <= max_gap)
-    opens = F.col("_m") & ~F.coalesce(linked, F.lit(False))
-    total = Window.partitionBy(*keys, "chunk")
-    marked = reach.withColumn("_o", opens).withColumn("_all", F.count("*").over(total)).withColumn("_end", F.max(F.when(F.col("_m"), F.struct("_k", "_e"))).over(upto))
-    # a stranger right after a member ends its run
-    edge = marked.withColumn("_was", F.lag("_m").over(here)).withColumn("_prev", F.lag("_end").over(here)).withColumn("_final", F.last("_end").over(total))
-    bounds = edge.where(F.col("_o") | (~F.col("_m") & F.col("_was")))
-    runs = bounds.withColumn("_next", F.lead("_n").over(here)).withColumn("_to", F.lead("_prev").over(here)).where("_o")
-    runs = runs.select(
-        *keys, "chunk", F.col("_s").alias("first_start"), F.coalesce("_to._e", "_final._e").alias("last_end"),
-        (F.coalesce(F.col("_next"), F.col("_all") + 1) - F.col("_n")).cast("long").alias("n"),
-        (F.col("_n") == 1).alias("_head"), (F.coalesce(F.col("_next"), F.col("_all") + 1) > F.col("_all")).alias("_tail"),
-    )
-    inner = runs.where(~F.col("_head") & ~F.col("_tail")).select(*keys, "first_start", "last_end", "n")
-    # chunks that hold no run at an edge part their neighbours, so each chunk is one link of the chain
-    edges = runs.where("_head OR _tail")
-    chain = Window.partitionBy(*keys).orderBy("chunk", "first_start")
-    prev = F.lag(F.struct("chunk", "last_end", "_tail")).over(chain)
-    joined = edges.withColumn("_p", prev).withColumn("_before", F.max("last_end").over(chain.rowsBetween(Window.unboundedPreceding, -1)))
-    follows = F.col("_head") & F.col("_p._tail") & (F.col("chunk") > F.col("_p.chunk")) & (F.col("first_start") - F.col("_before") - 1 <= max_gap)
-    chunks = rows.select(*keys, "chunk").distinct().withColumn("_c", F.lag("chunk").over(Window.partitionBy(*keys).orderBy("chunk")))
-    joined = joined.join(chunks.where("_c IS NOT NULL"), [*keys, "chunk"], "left").withColumn("_link", follows & (F.col("_p.chunk") == F.col("_c")))
-    run = F.sum(F.when(F.col("_link"), 0).otherwise(1)).over(chain.rowsBetween(Window.unboundedPreceding, 0))
-    outer = joined.withColumn("_r", run).groupBy(*keys, "_r").agg(F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"), F.sum("n").alias("n"))
-    whole = inner.unionByName(outer.select(*keys, "first_start", "last_end", "n")).where(F.col("n") >= least)
-    return whole.select(*keys, "first_start", "last_end", F.col("n").cast("int").alias("n_records"))
+    streak = rows.withColumn("_k", F.sum(F.when(F.col("_m"), 0).otherwise(1)).over(upto))
+    sums = streak.groupBy(*group).agg(F.max("_k").alias("_strangers"), F.max(F.when(F.col("_m"), F.struct("_k", "_e"))).alias("_end"))
+    placed = sums.withColumn("_base", F.coalesce(F.sum("_strangers").over(earlier), F.lit(0)))
+    carried = placed.withColumn("_carry", F.max(F.when(F.col("_end").isNotNull(), F.struct((F.col("_base") + F.col("_end._k")).alias("_k"), F.col("_end._e").alias("_e")))).over(earlier))
+    known = streak.join(carried.select(*group, "_base", "_carry"), group).withColumn("_k", F.col("_k") + F.col("_base"))
+    reach = known.withColumn("_n", F.row_number().over(here)).withColumn("_far", F.greatest(F.max(F.when(F.col("_m"), F.struct("_k", "_e"))).over(before), "_carry"))
+    linked = F.coalesce((F.col("_far._k") == F.col("_k")) & (F.col("_s") - F.col("_far._e") - 1 <= max_gap), F.lit(False))
+    ends = F.when(F.col("_m"), F.struct("_k", "_e"))
+    marked = reach.withColumn("_o", F.col("_m") & ~linked).withColumn("_end", F.max(ends).over(upto)).withColumn("_last", F.max(ends).over(whole)).withColumn("_all", F.count("*").over(whole))
+    edge = marked.withColumn("_was", F.lag("_m").over(here)).withColumn("_prev", F.lag("_end").over(here)).withColumn("_j", F.sum(F.col("_o").cast("int")).over(upto))
+    bounds = edge.where(F.col("_o") | (F.col("_m") & (F.col("_n") == 1)) | (~F.col("_m") & F.col("_was")))
+    parts = bounds.withColumn("_next", F.lead("_n").over(here)).withColumn("_to", F.lead("_prev").over(here)).where("_m")
+    parts = parts.select(*group, "_j", F.col("_s").alias("first_start"), F.coalesce("_to._e", "_last._e").alias("last_end"), (F.coalesce(F.col("_next"), F.col("_all") + 1) - F.col("_n")).alias("n"))
+    # a part without an opener goes on with the last run of the chunks before
+    opened = parts.groupBy(*group).agg(F.max("_j").alias("_opened"))
+    offset = opened.select(*group, F.coalesce(F.sum("_opened").over(earlier), F.lit(0)).alias("_offset"))
+    runs = parts.join(offset, group).groupBy(*keys, (F.col("_offset") + F.col("_j")).alias("_run")).agg(F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"), F.sum("n").alias("n"))
+    return runs.where(F.col("n") >= least).select(*keys, "first_start", "last_end", F.col("n").cast("int").alias("n_records"))
