@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genomespark.operators.skew import heavy_keys
+from genomespark.runtime import cut
 
 #: A group of less than this share of the rows stays one chunk.
 HEAVY_SHARE = 0.01
@@ -23,7 +24,8 @@ def with_chunks(df: DataFrame, keys: list[str], position: str, share: float = HE
     hashed = df.withColumn("_group", F.xxhash64(*keys))
     heavy = heavy_keys(hashed, "_group", share)
     cuts = [i / pieces for i in range(1, pieces)]
-    edges = (
+    # sketches depend on the order of the rows, so the edges are settled once: a plan may read them many times
+    edges = cut(
         hashed.join(F.broadcast(heavy), "_group", "left_semi").groupBy("_group").agg(F.array_sort(F.array_distinct(F.percentile_approx(position, cuts, 1000))).alias("_edges"))
     )
     below = F.size(F.filter("_edges", lambda e: e < F.col(position)))
