@@ -27,8 +27,22 @@ TERMS_AT_ONCE = 2_000_000
 # Han and Kana, the letters that are words by themselves (fixed values: blocks of the Unicode standard)
 _SINGLE = "々-〇〡-〩〸-〻ぁ-ゖゝ-ゟァ-ヺー-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U0001b000-\U0001b16f\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[{_SINGLE}]|[^\W_{_SINGLE}]+")
-_BROKEN = re.compile("[-‐](?:\r\n|[\n\r\x0b\x0c\x85  ])")
-_FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]")
+_BROKEN = re.compile("[-‐](?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])")
+
+
+def _ranges(category: str) -> str:
+    """The inside of a character class with all letters of a Unicode category, as ranges."""
+    out, run = [], []
+    for c in range(0x110001):
+        if c < 0x110000 and unicodedata.category(chr(c)) == category:
+            run = [run[0] if run else c, c]
+        elif run:
+            out.append(f"\\U{run[0]:08x}-\\U{run[1]:08x}")
+            run = []
+    return "".join(out)
+
+
+_FORMAT = re.compile(f"[{_ranges('Cf')}]")
 
 
 def words(text: str | None) -> list[str]:
