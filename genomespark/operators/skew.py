@@ -73,10 +73,12 @@ def dominant_keys(counts: DataFrame, key: str, share: float) -> DataFrame:
 def join_skewed(left: DataFrame, right: DataFrame, key: str, share: float = 0.02, how: str = "inner") -> DataFrame:
     """Join where some keys hold a large share of ``left`` and ``right`` has few rows per key.
 
-    Rows of heavy keys meet a broadcast of the matching rows of ``right`` (bounded: at most ``ceil(2/share)`` keys),
-    the rest is an ordinary shuffle join.
+    The heavy keys, at most ``ceil(2/share)`` of them, come to the driver; their rows meet a broadcast of the matching rows
+    of ``right``, the rest is an ordinary shuffle join.
     """
-    hot = heavy_keys(left, key, share)
-    few = right.join(F.broadcast(hot), key, "left_semi")
-    heavy, light = left.join(F.broadcast(hot), key, "left_semi"), left.join(F.broadcast(hot), key, "left_anti")
-    return heavy.join(F.broadcast(few), key, how).unionByName(light.join(right, key, how))
+    hot = [r[0] for r in heavy_keys(left, key, share).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    rest = F.coalesce(~is_hot, F.lit(True))
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).unionByName(left.where(rest).join(right.where(rest), key, how))

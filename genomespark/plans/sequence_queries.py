@@ -230,7 +230,8 @@ def kmer_spaced(spark, sf_dir):
 @query(f"WITH {DNA}, {_kmers(9)} SELECT n_records, CAST(count(*) AS BIGINT) AS n_kmers FROM (SELECT {_CANON} AS kmer, CAST(count(DISTINCT record_id) AS BIGINT) AS n_records FROM kmers GROUP BY 1) GROUP BY n_records")
 def kmer_conservation(spark, sf_dir):
     """How many canonical 9-mers occur in how many records."""
-    rows = K.windows(dna(spark, sf_dir).select("record_id", "seq"), "seq", 9).select("record_id", K.canonical(F.col("kmer")).alias("kmer")).distinct()
+    kmer = F.col("kmer")  # strands are paired by the smaller text: no k-mer needs its canonical name here
+    rows = K.windows(dna(spark, sf_dir).select("record_id", "seq"), "seq", 9).select("record_id", F.least(kmer, S.reverse_complement(kmer)).alias("kmer")).distinct()
     return rows.groupBy("kmer").agg(F.count("*").alias("n_records")).groupBy("n_records").agg(F.count("*").alias("n_kmers"))
 
 
