@@ -175,3 +175,59 @@ def split_haplotypes(starts_ends: list[tuple[int, int]]) -> list[int]:
         else:
             raise ValueError("more than two alignments overlap")
     return out
+
+
+def rebuilt(calls: DataFrame, key: str) -> DataFrame:
+    """(key, seq): the query sequence that the calls of a key spell, in order of start; symbolic ``*`` spells nothing.
+
+    One key's calls come together in one row, as its sequence does.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("v_start", "v_end", "alt")))
+    return calls.groupBy(key).agg(F.replace(F.array_join(F.transform(ordered, lambda c: c["alt"]), ""), F.lit("*"), F.lit("")).alias("seq"))
+
+
+def variant_columns(ref: Column, alt: Column, missing: Column, max_deletion: int | None = None) -> dict[str, Column]:
+    """Allele text, genotype, depths and likelihoods of a variant row.
+
+    A row without a real alternative is a reference row; deletions longer than ``max_deletion`` become symbolic; missing
+    rows have no genotype and no depth.
+    """
+    is_ref = (alt == ".") | (alt == ref)
+    long = F.lit(False) if max_deletion is None else F.length(ref) - F.length(alt) > max_deletion
+    alleles = F.when(is_ref, F.concat(ref, F.lit(",<NON_REF>"))).when(long, F.concat(F.substring(ref, 1, 1), F.lit(",<DEL>,<NON_REF>"))).otherwise(F.concat(ref, F.lit(","), alt, F.lit(",<NON_REF>")))
+    return {
+        "alleles": alleles,
+        "gt": F.when(missing, ".").when(is_ref, "0").otherwise("1"),
+        "dp": F.when(missing, 0).otherwise(30),
+        "ad": F.when(missing, "0,0").when(is_ref, "30,0").otherwise("0,30,0"),
+        "pl": F.when(is_ref, "0,90,90").otherwise("90,90,0"),
+    }
+
+
+def assign_haplotypes(blocks: DataFrame, contig: str, start: str, end: str, key: str) -> DataFrame:
+    """(contig, key, haplotype): 1, 2, or 0 where a third alignment overlaps both.
+
+    Blocks stream through in order of start; only the two open ends of the contig at hand are held.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([blocks.schema[contig], blocks.schema[key], T.StructField("haplotype", T.IntegerType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first, second = None, -1, -1
+        for batch in batches:
+            out = []
+            for c, s, e in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)]):
+                if c != at:
+                    at, first, second = c, -1, -1
+                if s > first:
+                    first = e
+                    out.append(1)
+                elif s > second:
+                    second = e
+                    out.append(2)
+                else:
+                    out.append(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=[f.name for f in schema])
+
+    return blocks.select(contig, key, start, end).repartition(contig).sortWithinPartitions(contig, start, end, key).mapInArrow(work, schema)

@@ -63,3 +63,34 @@ def delete_subtrees(edges: DataFrame, pairs: DataFrame, doomed: DataFrame) -> Da
     """Edges that are left when nodes and all their descendants are deleted; ``pairs`` is (ancestor, node)."""
     gone = doomed.select("node").unionByName(pairs.join(doomed.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi").select("node")).distinct()
     return edges.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent")
+
+
+def add_attribute(attributes: Column, tag: str, value: Column) -> Column:
+    """A map of tags to arrays of values with one more value under ``tag``."""
+    old = F.coalesce(F.element_at(attributes, F.lit(tag)), F.array().cast("array<string>"))
+    return F.map_concat(clear_attribute(attributes, tag), F.create_map(F.lit(tag), F.concat(old, F.array(value))))
+
+
+def set_attribute(attributes: Column, tag: str, values: list[str]) -> Column:
+    """A map of tags to arrays of values with the values of ``tag`` replaced."""
+    return F.map_concat(clear_attribute(attributes, tag), F.create_map(F.lit(tag), F.array(*[F.lit(v) for v in values])))
+
+
+def clear_attribute(attributes: Column, tag: str) -> Column:
+    """A map of tags without ``tag``."""
+    return F.map_filter(attributes, lambda k, _: k != tag)
+
+
+def insert_features(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and links with new (node, parent) rows; a node that exists already, or a parent that does not, raises."""
+    known = nodes.withColumn("_known", F.lit(True))
+    fresh = new.join(known, "node", "left").join(nodes.unionByName(new.select("node")).distinct().select(F.col("node").alias("parent"), F.lit(True).alias("_parent")), "parent", "left")
+    wrong = F.when(F.col("_known"), F.raise_error(F.concat(F.lit("id exists: "), F.col("node")))).when(F.col("parent").isNotNull() & F.col("_parent").isNull(), F.raise_error(F.concat(F.lit("no parent: "), F.col("parent"))))
+    checked = fresh.where(wrong.cast("string").isNull())
+    return nodes.unionByName(checked.select("node")).distinct(), edges.unionByName(checked.where("parent IS NOT NULL").select("node", "parent")).distinct()
+
+
+def resolve_parents(parents: Column, which: str = "left", prefer: Column | None = None) -> Column:
+    """One parent of several: the first, the last, or ``prefer`` where it is not null (with ``which`` as fallback)."""
+    end = F.element_at(F.when(F.size(parents) > 0, parents), -1 if which == "right" else 1)
+    return end if prefer is None else F.coalesce(prefer, end)

@@ -136,3 +136,41 @@ def part_of(onto: dict[str, DataFrame]) -> DataFrame:
     goals = cut(is_a(onto)).select(F.col("node").alias("goal"), F.col("ancestor").alias("super"))
     direct = onto["part_of"].select(F.col("node").alias("via"), F.col("parent").alias("super"))
     return reach.join(direct, "via").join(goals, "super").select("node", "goal").distinct()
+
+
+def define(onto: dict[str, DataFrame], ident: str, name: str, is_a_of: str | None = None, part_of_of: str | None = None, synonyms: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The ontology with one more type; a name that is taken, an unknown relative or a circle raises."""
+    spark = onto["types"].sparkSession
+    taken = onto["synonyms"].where("exact").select("name").where(F.col("name").isin(ident, name, *synonyms)).collect()
+    if taken:
+        raise ValueError(f"name is taken: {taken[0].name}")
+    known = {r.id for r in onto["types"].select("id").where(F.col("id").isin([x for x in (is_a_of, part_of_of) if x] or [""])).collect()} | {ident}
+    lost = [x for x in (is_a_of, part_of_of) if x and x not in known]
+    if lost:
+        raise ValueError(f"no such type: {lost[0]}")
+    out = dict(onto)
+    row = lambda cols, *values: spark.createDataFrame([values], cols)
+    out["types"] = onto["types"].unionByName(row("id string, name string", ident, name))
+    for s in (ident, name, *synonyms):
+        out["synonyms"] = out["synonyms"].unionByName(row("id string, name string, exact boolean", ident, s, True))
+    for kind, of in (("is_a", is_a_of), ("part_of", part_of_of)):
+        if of:
+            out[kind] = out[kind].unionByName(row("node string, parent string", ident, of))
+    check_circles(out)
+    return out
+
+
+def check_circles(onto: dict[str, DataFrame]) -> None:
+    """Raise if a type is its own super-type."""
+    from genomespark.operators.hierarchy import CYCLE, expand_hierarchy
+
+    found = expand_hierarchy(onto["types"].select(F.col("id").alias("node")), onto["is_a"]).where(F.col("root") == CYCLE).limit(1).collect()
+    if found:
+        raise ValueError(f"circle through {found[0].node}")
+
+
+def graph_text(onto: dict[str, DataFrame]) -> DataFrame:
+    """(line): the ontology as lines of graph text, is-a drawn whole and part-of dashed."""
+    node = onto["types"].select(F.concat(F.lit('"'), "id", F.lit('" [label="'), "name", F.lit('"];')).alias("line"))
+    edge = lambda df, style: df.select(F.concat(F.lit('"'), "node", F.lit('" -> "'), "parent", F.lit(f'" [style={style}];')).alias("line"))
+    return node.unionByName(edge(onto["is_a"], "solid")).unionByName(edge(onto["part_of"], "dashed"))

@@ -188,3 +188,20 @@ def cov_percent(spark, sf_dir):
     sizes = table(spark, sf_dir, "chrom_row").where("chrom_len IS NOT NULL").groupBy("seqid").agg(F.max("chrom_len").cast("long").alias("size"))
     covered = R.depth(genes(spark, sf_dir), ["seqid"], "gs", "ge").groupBy("seqid").agg(F.sum(F.col("ge") - F.col("gs") + 1).alias("n"))
     return covered.join(sizes, "seqid").select("seqid", "size", F.round(F.lit(100.0) * F.col("n") / F.col("size"), 9).alias("percent_cov"))
+
+
+@query(f"WITH {GENES} SELECT gene_key, (gs + ge) // 2 AS mid, CAST(row_number() OVER (PARTITION BY seqid ORDER BY gs + ge, gene_key) AS INTEGER) AS by_middle, CAST(row_number() OVER (PARTITION BY seqid ORDER BY ge, gs, gene_key) AS INTEGER) AS by_right FROM genes")
+def range_middle_sort(spark, sf_dir):
+    """Place of each gene on its sequence by its middle, and by its right edge."""
+    place = lambda *o: F.row_number().over(Window.partitionBy("seqid").orderBy(*o))
+    return genes(spark, sf_dir).select("gene_key", F.expr("(gs + ge) div 2").cast("int").alias("mid"), place(F.col("gs") + F.col("ge"), "gene_key").alias("by_middle"), place("ge", "gs", "gene_key").alias("by_right"))
+
+
+@query(f"""WITH {GENES}, n AS (SELECT gene_key, seqid, gs, ge, lead(gene_key) OVER w AS other, lead(gs) OVER w AS os, lead(ge) OVER w AS oe FROM genes WINDOW w AS (PARTITION BY seqid ORDER BY gs, ge, gene_key))
+SELECT gene_key, other, CAST(os - ge - 1 AS INTEGER) AS gap FROM n WHERE other IS NOT NULL AND os > ge AND abs((oe - os) - (ge - gs)) <= 200""")
+def range_find_pair(spark, sf_dir):
+    """Each gene with the next one if they are apart and of like length (a pairing condition as a column)."""
+    order = Window.partitionBy("seqid").orderBy("gs", "ge", "gene_key")
+    rows = genes(spark, sf_dir).select("*", F.lead("gene_key").over(order).alias("other"), F.lead("gs").over(order).alias("os"), F.lead("ge").over(order).alias("oe"))
+    alike = F.abs((F.col("oe") - F.col("os")) - (F.col("ge") - F.col("gs"))) <= 200
+    return rows.where(F.col("other").isNotNull() & (F.col("os") > F.col("ge")) & alike).select("gene_key", "other", (F.col("os") - F.col("ge") - 1).cast("int").alias("gap"))

@@ -303,3 +303,28 @@ def kmer_distance_matrix(spark, sf_dir):
 def random_nuc(spark, sf_dir):
     """A random sequence for each record, as long as the record's sequence."""
     return dna(spark, sf_dir).select("seq_id", S.random_sequence(F.col("seq_id"), F.length("seq")).alias("seq"))
+
+
+_LETTER_ROWS = ", ".join(f"('{c}', '{t}', {round(A.nucleotide_weight(c), 4)}, '{A.AMBIGUITY.get(c, '')}')" for c, t in zip(A.COMPLEMENT_FROM, A.COMPLEMENT_TO) if c != "U")
+
+
+@query(f"SELECT CAST(c AS VARCHAR) AS letter, CAST(t AS VARCHAR) AS dna_complement, CAST(w AS DOUBLE) AS dna_weight, a AS members FROM (VALUES {_LETTER_ROWS}) v(c, t, w, a)")
+def nuc_table(spark, sf_dir):
+    """Letters with complement, weight and the letters that ambiguous ones stand for."""
+    data = [(c, t, round(A.nucleotide_weight(c), 4), A.AMBIGUITY.get(c, "")) for c, t in zip(A.COMPLEMENT_FROM, A.COMPLEMENT_TO) if c != "U"]
+    return spark.createDataFrame(data, "letter string, dna_complement string, dna_weight double, members string")
+
+
+@query(f"WITH {DNA} SELECT record_id, CAST(count(*) AS BIGINT) AS n_palindromes FROM (SELECT record_id, unnest(list_transform(range(1, length(seq) - 4), lambda i: substr(seq, CAST(i AS INTEGER), 6))) AS w FROM dna WHERE length(seq) >= 6) WHERE w = reverse(translate(w, 'ACGT', 'TGCA')) AND regexp_full_match(w, '[ACGT]+') GROUP BY record_id")
+def seq_palindromes(spark, sf_dir):
+    """6-mers that equal their reverse complement, by record."""
+    rows = K.windows(dna(spark, sf_dir).select("record_id", "seq"), "seq", 6)
+    return rows.where(F.col("kmer") == S.reverse_complement(F.col("kmer"))).groupBy("record_id").agg(F.count("*").alias("n_palindromes"))
+
+
+@query(f"""WITH {DNA}, w AS (SELECT seq_id, i // 16 AS word_no, substr(seq, CAST(i + 1 AS INTEGER), 16) AS w FROM dna, LATERAL (SELECT unnest(range(0, length(seq), 16)) AS i))
+SELECT seq_id, CAST(word_no AS INTEGER) AS word_no, CAST(list_reduce(list_transform(string_split(translate(w, 'ACTG', '0123'), ''), lambda d: CAST(d AS BIGINT)), lambda a, d: a * 4 + d) AS BIGINT) AS packed FROM w WHERE regexp_full_match(w, '[ACGT]+')""")
+def seq_pack(spark, sf_dir):
+    """2-bit words of 16 letters of every sequence; words with an unknown letter are left to the run-length form."""
+    words = dna(spark, sf_dir).select("seq_id", F.posexplode(F.regexp_extract_all("seq", F.lit("(?s).{1,16}"), F.lit(0))).alias("word_no", "w"))
+    return words.where(~F.col("w").rlike("[^ACGT]")).select("seq_id", "word_no", K.encode(F.col("w")).alias("packed"))

@@ -206,3 +206,68 @@ def mutate_delete(spark, sf_dir):
 @query()
 def mutate_insert(spark, sf_dir):
     return protein(spark, sf_dir).select("seq_id", mutations.insert(F.col("seq"), F.col("seq_id"), 5).alias("seq"))
+
+
+@query(f"WITH {ALN} SELECT block, replace(substr(qry, 1, least(length(ref), length(qry))), '-', '') AS seq FROM aln")
+def gvcf_sequence(spark, sf_dir):
+    """The query sequence of each block, spelled by its calls."""
+    return M.rebuilt(M.call_blocks(_aligned(spark, sf_dir), ["block"]), "block")
+
+
+@query(f"""WITH {_VARS}, r AS (SELECT variant_id, ref_allele AS ref, CASE WHEN starts_with(alts[1], '<') THEN '.' ELSE alts[1] END AS alt, len(list_filter(idx, lambda i: i < 0)) > 0 AS missing FROM vars)
+SELECT variant_id, CASE WHEN alt = '.' OR alt = ref THEN ref || ',<NON_REF>' WHEN length(ref) - length(alt) > 3 THEN substr(ref, 1, 1) || ',<DEL>,<NON_REF>' ELSE ref || ',' || alt || ',<NON_REF>' END AS alleles,
+CASE WHEN missing THEN '.' WHEN alt = '.' OR alt = ref THEN '0' ELSE '1' END AS gt, CAST(CASE WHEN missing THEN 0 ELSE 30 END AS INTEGER) AS dp, CASE WHEN missing THEN '0,0' WHEN alt = '.' OR alt = ref THEN '30,0' ELSE '0,30,0' END AS ad, CASE WHEN alt = '.' OR alt = ref THEN '0,90,90' ELSE '90,90,0' END AS pl FROM r""")
+def vcf_rows(spark, sf_dir):
+    """Allele, genotype, depth and likelihood text of every record; deletions of more than 3 letters are symbolic."""
+    first = F.get("alts", F.lit(0))
+    alt = F.when(F.startswith(first, F.lit("<")), ".").otherwise(first)
+    missing = F.exists(V.genotype_indices(F.col("genotype")), lambda i: i < 0)
+    return _vars(spark, sf_dir).select("variant_id", *[c.alias(n) for n, c in M.variant_columns(F.col("ref_allele"), alt, missing, 3).items()])
+
+
+@query(f"WITH {_VARS} SELECT sample_name, variant_id, start_pos, end_pos, split_part(genotype, ':', 1) AS gt FROM vars WHERE contig = 'chr1' AND start_pos <= 10000 AND end_pos >= 10000")
+def vcf_at_position(spark, sf_dir):
+    """Records of every sample that cover chr1:10000."""
+    rows = _vars(spark, sf_dir).where("contig = 'chr1' AND start_pos <= 10000 AND end_pos >= 10000")
+    return rows.select("sample_name", "variant_id", "start_pos", "end_pos", F.substring_index("genotype", ":", 1).alias("gt"))
+
+
+@query(f"""WITH {_SNPS}, bed AS (SELECT lower(trim(seqid, e' \\t\\r\\n')) AS seqid, start_pos AS s, end_pos AS e FROM gene_row WHERE start_pos <= end_pos AND trim(seqid, e' \\t\\r\\n') <> '')
+SELECT variant_id, contig || '_' || min(s * 10000000000 + e) // 10000000000 || '-' || min(s * 10000000000 + e) % 10000000000 AS part FROM snps JOIN bed ON seqid = contig AND s <= start_pos AND e >= start_pos GROUP BY variant_id, contig""")
+def vcf_by_range(spark, sf_dir):
+    """The first range of genes that holds each SNP, as the name of the part it is written to."""
+    from genomespark.plans.views import genes
+
+    ranges = genes(spark, sf_dir).select(F.col("seqid").alias("bed_contig"), "gs", "ge")
+    snps = _snps(spark, sf_dir).select("variant_id", F.col("contig").alias("bed_contig"), F.col("start_pos").alias("pos"))
+    met = V.covering(snps, ranges, "bed_contig", "pos", "gs", "ge")
+    first = met.groupBy("variant_id", "bed_contig").agg(F.min(F.struct("gs", "ge")).alias("r"))
+    return first.select("variant_id", F.concat("bed_contig", F.lit("_"), F.col("r.gs").cast("string"), F.lit("-"), F.col("r.ge").cast("string")).alias("part"))
+
+
+@query("""WITH o AS (SELECT sample_name, contig, variant_id, CASE WHEN lag(contig) OVER w = contig THEN 0 ELSE 1 END AS opens FROM simple_variant WHERE contig IS NOT NULL WINDOW w AS (PARTITION BY sample_name ORDER BY made_at, variant_id)), r AS (SELECT sample_name, contig, sum(opens) AS runs FROM o GROUP BY sample_name, contig)
+SELECT sample_name, CAST(count(*) AS BIGINT) AS n_contigs, CAST(sum(runs) AS BIGINT) AS n_runs, CAST(count(*) FILTER (runs > 1) AS BIGINT) AS n_repeated FROM r GROUP BY sample_name""")
+def vcf_contig_runs(spark, sf_dir):
+    """Runs of contigs of each sample in order of making, and contigs that come more than once."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("sample_name").orderBy("made_at", "variant_id")
+    rows = table(spark, sf_dir, "simple_variant").where("contig IS NOT NULL").withColumn("opens", F.when(F.lag("contig").over(order) == F.col("contig"), 0).otherwise(1))
+    runs = rows.groupBy("sample_name", "contig").agg(F.sum("opens").alias("runs"))
+    return runs.groupBy("sample_name").agg(F.count("*").alias("n_contigs"), F.sum("runs").alias("n_runs"), F.count_if(F.col("runs") > 1).alias("n_repeated"))
+
+
+@query()
+def maf_diploid_split(spark, sf_dir):
+    """Blocks of each contig dealt to two haplotypes; 0 marks what overlaps both."""
+    blocks = aln(spark, sf_dir).select("contig", "block", (F.col("start0") + 1).alias("s"), (F.col("start0") + F.length(F.replace(F.col("ref"), F.lit("-"), F.lit("")))).alias("e"))
+    return M.assign_haplotypes(blocks, "contig", "s", "e", "block")
+
+
+@query(f"WITH {_COLS}, c AS (SELECT contig, pos, count(*) FILTER (q <> '-') AS cov, count(*) FILTER (q = r) AS ident FROM placed WHERE r <> '-' AND pos BETWEEN 500 AND 1499 GROUP BY contig, pos) SELECT contig, CAST(count(*) FILTER (cov > 0) AS DOUBLE) / 10 AS percent_cov, CAST(count(*) FILTER (ident > 0) AS DOUBLE) / 10 AS percent_id FROM c GROUP BY contig")
+def cov_region_percent(spark, sf_dir):
+    """Covered and identical share of positions 500 to 1,499 of each contig."""
+    runs = M.column_runs(_aligned(spark, sf_dir)).where("r_end >= 500 AND r_start <= 1499 AND r_start <= r_end")
+    inside = runs.withColumn("r_start", F.greatest("r_start", F.lit(500))).withColumn("r_end", F.least("r_end", F.lit(1499)))
+    sizes = inside.select("contig").distinct().withColumn("num_region_bps", F.lit(1000))
+    return M.coverage_percent(inside, sizes, "contig").select("contig", "percent_cov", "percent_id")

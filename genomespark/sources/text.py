@@ -191,3 +191,54 @@ def write_kmers(df: DataFrame, path: str, header: dict[str, str], compression: s
     head = "#" + ",".join(f"{k}:{v}" for k, v in header.items()) + "\n"
     line = F.concat("kmer", F.lit("\t"), F.col("n").cast("string"))
     _write(F.when(F.pmod("i", F.lit(1 << 33)) == 0, F.concat(F.lit(head), line)).otherwise(line), rows, path, compression, mode)
+
+
+# The FORMAT and INFO lines of generated variant files.
+VCF_HEADERS = [
+    "##fileformat=VCFv4.2",
+    '##FORMAT=<ID=AD,Number=3,Type=Integer,Description="Allelic depths for the ref and alt alleles in the order listed">',
+    '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read Depth (only filtered reads used for calling)">',
+    '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype Quality">',
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+    '##FORMAT=<ID=PL,Number=3,Type=Integer,Description="Normalized, Phred-scaled likelihoods for genotypes">',
+    '##INFO=<ID=DP,Number=1,Type=Integer,Description="Total Depth">',
+    '##INFO=<ID=NS,Number=1,Type=Integer,Description="Number of Samples With Data">',
+    '##INFO=<ID=AF,Number=3,Type=Integer,Description="Allele Frequency">',
+    '##INFO=<ID=END,Number=1,Type=Integer,Description="Stop position of the interval">',
+    '##INFO=<ID=ASM_Chr,Number=1,Type=String,Description="Assembly chromosome">',
+    '##INFO=<ID=ASM_Start,Number=1,Type=Integer,Description="Assembly start position">',
+    '##INFO=<ID=ASM_End,Number=1,Type=Integer,Description="Assembly end position">',
+    '##INFO=<ID=ASM_Strand,Number=1,Type=String,Description="Assembly strand">',
+]
+
+
+def contig_headers(sizes: list[tuple[str, int]]) -> list[str]:
+    """``##contig`` lines of a sequence dictionary."""
+    return [f"##contig=<ID={name},length={length}>" for name, length in sizes]
+
+
+def two_names(name: str) -> tuple[str, str]:
+    """Two output names: those of a comma list, or the name with ``_1`` and ``_2`` before its suffix."""
+    if "," in name:
+        first, second = name.split(",", 1)
+        return first.strip(), second.strip()
+    for suffix in (".g.vcf.gz", ".g.vcf", ".gvcf", ".vcf.gz", ".vcf"):
+        if name.endswith(suffix):
+            return name.removesuffix(suffix) + "_1" + suffix, name.removesuffix(suffix) + "_2" + suffix
+    return f"{name}_1", f"{name}_2"
+
+
+def write_matrix(df: DataFrame, row: str, column: str, value: str, path: str, names: list[str], mode: str = "errorifexists") -> None:
+    """A long table of pairs as a tab-separated matrix; ``names`` are the columns in their order."""
+    df.groupBy(row).pivot(column, names).agg(F.first(value)).write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+
+
+def write_parts(df: DataFrame, part: str, lines: Column, path: str, mode: str = "errorifexists") -> None:
+    """Lines in one folder per value of ``part`` (such as a BED range); a part is written by many tasks if it is large."""
+    df.select(part, lines.alias("value")).write.mode(mode).partitionBy(part).text(path)
+
+
+def ranges_of_known_contigs(bed: DataFrame, sequences: DataFrame) -> DataFrame:
+    """BED ranges whose contig is among the sequences (id, seq), with the letters they span."""
+    met = bed.join(sequences.select(F.col("id").alias("chrom"), "seq"), "chrom")
+    return met.where(F.col("end_pos") <= F.length("seq")).withColumn("seq", F.substring(F.col("seq"), F.col("start_pos"), F.col("end_pos") - F.col("start_pos") + 1))

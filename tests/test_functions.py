@@ -173,3 +173,34 @@ def test_ontology(spark):
     onto = ontology.tables(spark)
     part = set(rows(ontology.part_of(onto)))
     assert ("SO:0000316", "SO:0000704") in part and ("SO:0000704", "SO:0000316") not in part
+
+
+def test_tree_edits(spark):
+    from genomespark.operators import features as G
+
+    nodes = spark.createDataFrame([("a",), ("b",)], "node string")
+    edges = spark.createDataFrame([("b", "a")], "node string, parent string")
+    new = spark.createDataFrame([("c", "b"), ("d", "c"), ("e", None)], "node string, parent string")
+    n, e = G.insert_features(nodes, edges, new)
+    assert rows(n) == [(x,) for x in "abcde"] and rows(e) == [("b", "a"), ("c", "b"), ("d", "c")]
+    with pytest.raises(Exception, match="id exists"):
+        G.insert_features(nodes, edges, spark.createDataFrame([("a", None)], "node string, parent string"))[0].collect()
+    m = spark.createDataFrame([({"x": ["1"]}, ["p", "q"])], "m map<string,array<string>>, ps array<string>")
+    got = m.select(G.add_attribute(F.col("m"), "x", F.lit("2")).alias("a"), G.set_attribute(F.col("m"), "y", ["3"]).alias("s"), G.clear_attribute(F.col("m"), "x").alias("c"), G.resolve_parents(F.col("ps")).alias("l"), G.resolve_parents(F.col("ps"), "right").alias("r")).collect()[0]
+    assert (got.a, got.s, got.c, got.l, got.r) == ({"x": ["1", "2"]}, {"x": ["1"], "y": ["3"]}, {}, "p", "q")
+
+
+def test_ontology_edits(spark):
+    onto = ontology.define(ontology.tables(spark), "X:1", "toy", is_a_of="SO:0000704", synonyms=("plaything",))
+    assert ("X:1", "SO:0000001") in {r[:2] for r in rows(ontology.is_a(onto))}
+    assert any("X:1" in r.line for r in ontology.graph_text(onto).collect())
+    for bad in (("X:2", "gene", None), ("X:3", "x", "lost"), ("X:4", "self", "X:4")):
+        with pytest.raises(ValueError):
+            ontology.define(onto, bad[0], bad[1], is_a_of=bad[2])
+
+
+def test_names():
+    from genomespark.sources import text as T
+
+    assert T.two_names("a.g.vcf") == ("a_1.g.vcf", "a_2.g.vcf") and T.two_names("x, y") == ("x", "y") and T.two_names("z") == ("z_1", "z_2")
+    assert T.contig_headers([("c", 5)]) == ["##contig=<ID=c,length=5>"] and T.VCF_HEADERS[0].startswith("##fileformat")
