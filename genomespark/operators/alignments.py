@@ -231,3 +231,42 @@ def assign_haplotypes(blocks: DataFrame, contig: str, start: str, end: str, key:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=[f.name for f in schema])
 
     return blocks.select(contig, key, start, end).repartition(contig).sortWithinPartitions(contig, start, end, key).mapInArrow(work, schema)
+
+
+def sub_block(ref: str, qry: str, start0: int, first: int, last: int) -> tuple[str, str, int]:
+    """The columns of a block from reference position ``first`` to ``last`` (1-based), and their 0-based start."""
+    import numpy as np
+
+    place = start0 + np.cumsum(np.frombuffer(ref.encode("latin-1", "replace"), np.uint8) != ord("-"))
+    a, b = int(np.searchsorted(place, first)), int(np.searchsorted(place, last, "right"))
+    while b > a and ref[b - 1] == "-":
+        b -= 1
+    return ref[a:b], qry[a:b], first - 1
+
+
+def fill_haplotypes(blocks: DataFrame, contig: str = "contig", block: str = "block") -> DataFrame:
+    """(contig, block, haplotype, start0, ref, qry): the blocks of two haplotypes, each completed by what only the other
+    covers.
+
+    ``blocks`` has contig, block, start0, ref, qry.  A block that overlaps both haplotypes (a third alignment) is left
+    out.  The positions to fill are an interval difference; each piece is then cut from its block by itself.
+    """
+    from pyspark.sql import types as T
+
+    from genomespark.operators.intervals import subtract
+
+    end = F.col("start0") + F.length(F.replace(F.col("ref"), F.lit("-"), F.lit("")))
+    placed = blocks.withColumn("_a", (F.col("start0") + 1).cast("long")).withColumn("_b", end.cast("long"))
+    dealt = placed.join(assign_haplotypes(placed, contig, "_a", "_b", block), [contig, block])
+    side = lambda h: dealt.where(F.col("haplotype") == h)
+    own = dealt.where("haplotype > 0").select(contig, block, "haplotype", "_a", "_b")
+    gaps = [subtract(side(3 - h), side(h), block, contig, "_a", "_b").select(contig, block, F.lit(h).alias("haplotype"), "_a", "_b") for h in (1, 2)]
+    wanted = own.unionByName(gaps[0]).unionByName(gaps[1]).join(blocks.select(block, "start0", "ref", "qry"), block)
+    schema = T.StructType([blocks.schema[contig], blocks.schema[block], T.StructField("haplotype", T.IntegerType()), T.StructField("start0", T.LongType()), T.StructField("ref", T.StringType()), T.StructField("qry", T.StringType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [sub_block(r, q, s, a, b) for a, b, s, r, q in zip(*[batch.column(i).to_pylist() for i in (3, 4, 5, 6, 7)])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int32()), pa.array([c[2] for c in cut], pa.int64()), pa.array([c[0] for c in cut], pa.string()), pa.array([c[1] for c in cut], pa.string())], names=[f.name for f in schema])
+
+    return wanted.select(contig, block, "haplotype", "_a", "_b", "start0", "ref", "qry").mapInArrow(work, schema)

@@ -78,3 +78,33 @@ def valid_files(lists: dict[str, list[str]]) -> dict[str, bool]:
     """Whether each file's contigs come without repeats and in the order common to all files."""
     merged = contig_order(lists)
     return {f: len(set(cs)) == len(cs) and cs == [c for c in merged if c in set(cs)] for f, cs in lists.items()}
+
+
+def merged_calls(cover: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ref, alts, genotypes): merged SNP sites from the record of each sample that covers a position.
+
+    ``cover`` has the keys (contig, pos), sample_name, start_pos, end_pos, ref_allele, alts and genotype, one row per
+    sample.  The first known reference base by sample name is the site's; a sample with another one drops the site, and
+    so does N.  A site needs one sample with a SNP.  Indels show as ``<INS>``, ``<DEL>`` or the base before a deletion;
+    reference blocks show the reference; all else is ``.``.
+    """
+    at = F.col("pos") - F.col("start_pos")
+    base = F.when(at < F.length("ref_allele"), F.substring("ref_allele", at + 1, F.lit(1)))
+    kinds = classify(F.col("ref_allele"), F.col("alts"), F.col("genotype"))
+    alleles = F.transform(genotype_indices(F.col("genotype")), lambda i: F.when(i < 0, ".").when(i == 0, F.col("ref_allele")).otherwise(F.coalesce(F.get(F.col("alts"), i - 1), F.lit("."))))
+    kind = F.when(kinds["is_indel"], "indel").when(kinds["is_snp"], "snp").when(kinds["is_ref_block"], "ref").otherwise("none")
+    rows = cover.select(*keys, F.struct("sample_name", base.alias("base"), (at == 0).alias("first"), (F.col("end_pos") - F.col("start_pos") + 1).alias("n"), alleles.alias("g"), kind.alias("kind"), is_phased(F.col("genotype")).alias("phased")).alias("c"))
+    sites = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("l")).withColumn("ref", F.get(F.filter("l", lambda c: c["base"].isNotNull()), F.lit(0))["base"])
+    good = sites.where((F.col("ref") != "N") & F.forall("l", lambda c: c["base"].isNull() | (c["base"] == F.col("ref"))) & F.exists("l", lambda c: c["kind"] == "snp"))
+
+    def shown(c: Column) -> Column:
+        ins = lambda g: (g == "<INS>") | (~F.startswith(g, F.lit("<")) & (F.length(g) > c["n"]))
+        gone = lambda g: (g == "<DEL>") | (F.length(g) < c["n"])
+        first = lambda g: F.when(c["first"] & (F.substring(g, 1, 1) == F.col("ref")), F.substring(g, 1, 1)).otherwise("<DEL>")
+        indel = F.transform(c["g"], lambda g: F.when(g == ".", ".").when(ins(g), "<INS>").when(gone(g), first(g)).when(F.length(g) == 1, g).otherwise("."))
+        return F.when(c["kind"] == "indel", indel).when(c["kind"] == "snp", c["g"]).when(c["kind"] == "ref", F.transform(c["g"], lambda _: F.col("ref"))).otherwise(F.transform(c["g"], lambda _: F.lit(".")))
+
+    calls = good.withColumn("s", F.transform("l", lambda c: F.struct(c["sample_name"].alias("sample"), shown(c).alias("g"), c["phased"].alias("phased"))))
+    alts = F.array_sort(F.array_except(F.array_distinct(F.flatten(F.transform("s", lambda x: x["g"]))), F.array(F.col("ref"), F.lit("."))))
+    text = F.array_join(F.transform("s", lambda x: F.concat(x["sample"], F.lit("="), F.array_join(x["g"], "/"))), ";")
+    return calls.select(*keys, "ref", F.array_join(alts, ",").alias("alts"), text.alias("genotypes"))

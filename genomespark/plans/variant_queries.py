@@ -102,6 +102,25 @@ def vcf_merge_snp(spark, sf_dir):
     return rows.where("ref = other AND ref <> 'N'").select("contig", "pos", "ref", "n_calls")
 
 
+@query(f"""WITH {_COVER}, k AS (SELECT b.contig, b.pos, b.sample_name, b.start_pos = b.pos AS first_, v.end_pos - v.start_pos + 1 AS n, CASE WHEN b.pos - b.start_pos < length(b.ref_allele) THEN substr(b.ref_allele, CAST(b.pos - b.start_pos + 1 AS INTEGER), 1) END AS base,
+list_transform(v.idx, lambda i: CASE WHEN i < 0 THEN '.' WHEN i = 0 THEN v.ref_allele ELSE coalesce(v.alts[i], '.') END) AS g, len(list_filter(v.idx, lambda i: i <> 0)) = 0 AS is_ref,
+length(v.ref_allele) = 1 AND len(list_filter(v.alts, lambda a: NOT (starts_with(a, '<') OR length(a) = 1))) = 0 AS plain, len(list_filter(v.alts, lambda a: a IN ('<DEL>', '<INS>') OR (NOT starts_with(a, '<') AND length(a) <> length(v.ref_allele)))) > 0 AS odd
+FROM best b JOIN vars v USING (variant_id) WHERE b.n = 1),
+kind AS (SELECT *, CASE WHEN NOT is_ref AND odd THEN 'indel' WHEN NOT is_ref AND plain THEN 'snp' WHEN is_ref THEN 'ref' ELSE 'none' END AS kind FROM k),
+site AS (SELECT contig, pos, arg_min(base, sample_name) FILTER (base IS NOT NULL) AS ref FROM kind GROUP BY contig, pos HAVING count(DISTINCT base) = 1 AND count(*) FILTER (kind = 'snp') > 0),
+calls AS (SELECT s.contig, s.pos, s.ref, sample_name, list_transform(g, lambda x: CASE WHEN kind = 'none' OR (kind = 'indel' AND x = '.') THEN '.' WHEN kind = 'ref' THEN s.ref WHEN kind = 'snp' THEN x
+WHEN x = '<INS>' OR (NOT starts_with(x, '<') AND length(x) > n) THEN '<INS>' WHEN x = '<DEL>' OR length(x) < n THEN CASE WHEN first_ AND substr(x, 1, 1) = s.ref THEN substr(x, 1, 1) ELSE '<DEL>' END WHEN length(x) = 1 THEN x ELSE '.' END) AS g FROM site s JOIN kind USING (contig, pos) WHERE s.ref <> 'N'),
+a AS (SELECT contig, pos, unnest(g) AS x, ref FROM calls)
+SELECT c.contig, c.pos, any_value(c.ref) AS ref, coalesce((SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM a WHERE a.contig = c.contig AND a.pos = c.pos AND x <> '.' AND x <> a.ref), '') AS alts, string_agg(sample_name || '=' || array_to_string(g, '/'), ';' ORDER BY sample_name) AS genotypes FROM calls c GROUP BY c.contig, c.pos""")
+def vcf_merge_calls(spark, sf_dir):
+    """Merged SNP sites with every sample's alleles."""
+    sites = _snps(spark, sf_dir).select("contig", F.col("start_pos").alias("pos")).distinct()
+    met = V.covering(sites, _vars(spark, sf_dir).select("variant_id", "sample_name", "contig", "start_pos", "end_pos", "ref_allele", "alts", "genotype"), "contig", "pos", "start_pos", "end_pos")
+    pick = F.struct((-F.col("start_pos")).alias("s"), "variant_id")
+    one = met.groupBy("contig", "pos", "sample_name").agg(F.min_by(F.struct("start_pos", "end_pos", "ref_allele", "alts", "genotype"), pick).alias("v")).select("contig", "pos", "sample_name", "v.*")
+    return V.merged_calls(one, ["contig", "pos"])
+
+
 @query("""WITH v AS (SELECT variant_id, contig, start_pos, lag(contig) OVER w AS c, lag(end_pos) OVER w AS e FROM simple_variant WHERE contig IS NOT NULL WINDOW w AS (PARTITION BY sample_name ORDER BY contig, start_pos, end_pos, variant_id)) SELECT variant_id, contig, start_pos FROM v WHERE c = contig AND start_pos <= e""")
 def vcf_validate_order(spark, sf_dir):
     """Records of a sample that start at or before the end of the record before them."""
@@ -264,6 +283,12 @@ def maf_diploid_split(spark, sf_dir):
     return M.assign_haplotypes(blocks, "contig", "s", "e", "block")
 
 
+@query()
+def maf_fill_haplotypes(spark, sf_dir):
+    """Blocks of two haplotypes, each completed from the other."""
+    return M.fill_haplotypes(_aligned(spark, sf_dir).select("contig", "block", "start0", "ref", "qry"))
+
+
 @query(f"WITH {_COLS}, c AS (SELECT contig, pos, count(*) FILTER (q <> '-') AS cov, count(*) FILTER (q = r) AS ident FROM placed WHERE r <> '-' AND pos BETWEEN 500 AND 1499 GROUP BY contig, pos) SELECT contig, CAST(count(*) FILTER (cov > 0) AS DOUBLE) / 10 AS percent_cov, CAST(count(*) FILTER (ident > 0) AS DOUBLE) / 10 AS percent_id FROM c GROUP BY contig")
 def cov_region_percent(spark, sf_dir):
     """Covered and identical share of positions 500 to 1,499 of each contig."""

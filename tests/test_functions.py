@@ -204,3 +204,14 @@ def test_names():
 
     assert T.two_names("a.g.vcf") == ("a_1.g.vcf", "a_2.g.vcf") and T.two_names("x, y") == ("x", "y") and T.two_names("z") == ("z_1", "z_2")
     assert T.contig_headers([("c", 5)]) == ["##contig=<ID=c,length=5>"] and T.VCF_HEADERS[0].startswith("##fileformat")
+
+
+def test_haplotypes(spark):
+    from genomespark.operators.alignments import fill_haplotypes, sub_block
+
+    assert sub_block("AC--GT", "ACTTG-", 4, 6, 7) == ("C--G", "CTTG", 5)
+    assert sub_block("AC--GT", "ACTTG-", 4, 5, 6) == ("AC", "AC", 4)
+    data = [("c", 1, 0, "ACGTAC", "ACGTAC"), ("c", 2, 4, "ACGG", "AC-G"), ("c", 3, 20, "TT", "TA")]
+    df = spark.createDataFrame(data, "contig string, block int, start0 int, ref string, qry string")
+    got = {(r.haplotype, r.block, r.start0, r.ref, r.qry) for r in fill_haplotypes(df).collect()}
+    assert got == {(1, 1, 0, "ACGTAC", "ACGTAC"), (1, 3, 20, "TT", "TA"), (1, 2, 6, "GG", "-G"), (2, 2, 4, "ACGG", "AC-G"), (2, 1, 0, "ACGT", "ACGT"), (2, 3, 20, "TT", "TA")}
