@@ -74,15 +74,25 @@ def double(nodes: DataFrame, edges: DataFrame, with_path: bool = False, max_roun
 
 
 def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, ancestor, dist) of all ancestors, the node itself with 0; circles are followed once around."""
-    reach = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist")).unionByName(edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("dist")))
-    reach, size = cut(reach.groupBy("node", "ancestor").agg(F.min("dist").alias("dist"))), -1
-    while size != (size := reach.count()):
-        far = reach.select("node", F.col("ancestor").alias("at"), "dist")
-        more = reach.select(F.col("node").alias("at"), "ancestor", F.col("dist").alias("_more"))
-        both = join_skewed(far, more, "at").select("node", "ancestor", (F.col("dist") + F.col("_more")).alias("dist"))
-        reach = cut(both.groupBy("node", "ancestor").agg(F.min("dist").alias("dist")))
-    return reach
+    """(node, ancestor, dist) of all ancestors, the node itself with 0; circles are followed once around.
+
+    Round ``k`` joins the pointers over exactly ``2^k`` links (few, in a hierarchy that is not deep) with all pairs that
+    are at most that far apart, so a pair is made about once.  A round without a new pair is the last: a nearest way
+    of more links would have a nearest way of fewer links inside it.
+    """
+    reach = cut(edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("dist")))
+    exact, links_, size = cut(edges.select("node", F.col("parent").alias("at"))), 1, reach.count()
+    while not exact.isEmpty():
+        step = reach.select(F.col("node").alias("at"), "ancestor", "dist")
+        more = join_skewed(exact, step, "at").select("node", "ancestor", (F.col("dist") + links_).alias("dist"))
+        reach = cut(reach.unionByName(more).groupBy("node", "ancestor").agg(F.min("dist").alias("dist")))
+        before, size = size, reach.count()
+        if size == before:
+            break
+        far = exact.select(F.col("node").alias("at"), F.col("at").alias("to"))
+        exact, links_ = cut(join_skewed(exact, far, "at").select("node", F.col("to").alias("at")).distinct()), links_ * 2
+    own = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist"))
+    return own.unionByName(reach)
 
 
 def _on_circles(open_nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,9 +109,7 @@ def _on_circles(open_nodes: DataFrame, edges: DataFrame) -> DataFrame:
     inside = cut(inner.join(core, "node", "left_semi").join(core.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent"))
     if inside.groupBy("node").count().where("count > 1").isEmpty():
         return core
-    first = inside.select("node", F.col("parent").alias("ancestor"))
-    up = closure(core, inside).select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_far"))
-    return first.join(up, "ancestor").where("node = _far").select("node").distinct()
+    return closure(core, inside).where("node = ancestor AND dist > 0").select("node").distinct()
 
 
 def expand_hierarchy(nodes: DataFrame, edges: DataFrame, with_path: bool = False) -> DataFrame:
