@@ -151,8 +151,9 @@ def _one_round(spark, docs: DataFrame, item_words: DataFrame, doc_key: str, text
     anchors = rare.where("_rare.seen > 0").select("item", F.col("_rare.at").alias("at"), F.col("_rare.term").alias("term")).distinct()
     # a table of items is at most TERMS_AT_ONCE rows of three numbers
     offsets = index.join(F.broadcast(anchors), "term").select("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    hits = index.join(offsets, "doc").select("doc", "item", "shift", "pos", "term", (F.col("pos") - F.col("shift")).alias("at"))
-    hits = hits.join(F.broadcast(wanted), ["item", "at", "term"])
+    # what the item's other terms say at these offsets, met with the index by (doc, pos, term): no document is a hot key
+    said = offsets.join(F.broadcast(wanted), "item").select("doc", "item", "shift", "at", "term", (F.col("at") + F.col("shift")).alias("pos"))
+    hits = said.join(index, ["doc", "pos", "term"])
     order = Window.partitionBy("doc", "item", "shift").orderBy("at")
     runs = hits.withColumn("_run", F.col("at") - F.row_number().over(order)).groupBy("doc", "item", "shift", "_run").agg(F.count("*").cast("int").alias("n"), F.min("at").alias("from"))
     long = runs.where(F.col("n") >= least)
