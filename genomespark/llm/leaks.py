@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST = 20
+#: Positions of a block in which offsets and postings meet.
+BLOCK = 128
 #: Terms and neighbouring pairs of the items that a worker holds; items beyond it are worked in several rounds.
 TERMS_AT_ONCE = 2_000_000
 
@@ -151,9 +153,12 @@ def _one_round(spark, docs: DataFrame, item_words: DataFrame, doc_key: str, text
     anchors = rare.where("_rare.seen > 0").select("item", F.col("_rare.at").alias("at"), F.col("_rare.term").alias("term")).distinct()
     # a table of items is at most TERMS_AT_ONCE rows of three numbers
     offsets = index.join(F.broadcast(anchors), "term").select("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    # what the item's other terms say at these offsets, met with the index by (doc, pos, term): no document is a hot key
-    said = offsets.join(F.broadcast(wanted), "item").select("doc", "item", "shift", "at", "term", (F.col("at") + F.col("shift")).alias("pos"))
-    hits = said.join(index, ["doc", "pos", "term"])
+    # offsets meet the index in blocks of positions: a long document is no hot key, and each block holds few postings
+    length = wanted.groupBy("item").agg(F.max("at").alias("last"))
+    spread = offsets.join(F.broadcast(length), "item").withColumn("block", F.explode(F.sequence(F.floor(F.greatest("shift", F.lit(0)) / BLOCK), F.floor((F.col("shift") + F.col("last")) / BLOCK))))
+    placed = index.withColumn("block", F.floor(F.col("pos") / BLOCK))
+    hits = placed.join(spread.drop("last"), ["doc", "block"]).select("doc", "item", "shift", "pos", "term", (F.col("pos") - F.col("shift")).alias("at"))
+    hits = hits.join(F.broadcast(wanted), ["item", "at", "term"])
     order = Window.partitionBy("doc", "item", "shift").orderBy("at")
     runs = hits.withColumn("_run", F.col("at") - F.row_number().over(order)).groupBy("doc", "item", "shift", "_run").agg(F.count("*").cast("int").alias("n"), F.min("at").alias("from"))
     long = runs.where(F.col("n") >= least)

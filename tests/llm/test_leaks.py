@@ -37,3 +37,9 @@ def test_against_brute_force(spark):
     assert sorted(rows(got.select("doc_id", "item_id"))) == want and want
     assert got.where("longest < 20 OR n_words < longest").count() == 0
     assert shared_passages(d, i.limit(0)).count() == 0 and shared_passages(d.limit(0), i).count() == 0
+
+
+def test_long_document_of_repeated_words(spark):
+    docs = spark.createDataFrame([(1, "the " * 30_000), (2, "the " * 19)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "the " * 25), (8, "of " * 25)], "item_id long, text string")
+    assert rows(shared_passages(docs, items)) == [(1, 7, 25, 25)]
