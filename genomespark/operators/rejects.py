@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 REASONS = ["quoting", "columns", "coordinates", "score", "strand", "phase", "attributes"]
 #: The nine columns of a feature line.
 FIELDS = ["seqid", "feature_source", "feature_type", "start_text", "end_text", "score_text", "strand", "phase", "attributes"]
-_JUDGED = {"start_text": 2, "end_text": 2, "score_text": 3, "strand": 4, "phase": 5, "attributes": 6}
 _SALTS = 16
 _TAB, _SEMI, _EQ, _COMMA = "\x01", "\x02", "\x03", "\x04"
 

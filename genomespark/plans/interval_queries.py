@@ -12,7 +12,6 @@ from genomespark.runtime import table
 BOOK = Book()
 query = BOOK.query
 _OVERLAP = "seqid = fseq AND gs <= fe AND ge >= fs"
-_SIZES = "sizes AS (SELECT seqid, chrom_len FROM chrom_row WHERE chrom_len IS NOT NULL)"
 
 
 def _plain(df, prefix):
@@ -60,7 +59,6 @@ merged AS (SELECT seqid, min(s) AS m_start, max(e) AS m_end, CAST(count(*) AS BI
 
 
 _FROM_GENES = f"{GENES}, src AS (SELECT seqid, gs AS s, ge AS e FROM genes)"
-_FROM_FEATURES = f"{FEATURES}, src AS (SELECT fseq AS seqid, fs AS s, fe AS e FROM features)"
 
 
 @query(f"WITH {_FROM_GENES}, {_merged('src', 0)} SELECT * FROM merged")
