@@ -32,7 +32,8 @@ def links(df: DataFrame, node: str, parents: str, name=feature_name) -> tuple[Da
     rows = df.select(name(F.col(node)).alias("node"), F.col(parents).alias("_p")).where("node IS NOT NULL")
     nodes = rows.select("node").distinct()
     pairs = rows.select("node", F.explode("_p").alias("_p")).select("node", name(F.col("_p")).alias("parent")).where("parent IS NOT NULL").distinct()
-    return nodes, pairs.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent")
+    # one parent may hold a large share of the links
+    return nodes, join_skewed(cut(pairs), nodes.withColumnRenamed("node", "parent"), "parent").select("node", "parent")
 
 
 def _start(nodes: DataFrame, edges: DataFrame, with_path: bool) -> DataFrame:
