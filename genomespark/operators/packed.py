@@ -127,3 +127,16 @@ def explode_packed(df: DataFrame, key: str, field: str, grammar: str, least: int
             yield pa.RecordBatch.from_arrays([keys, pa.array(no, pa.int32()), pa.array(tags, pa.string()), pa.array(values, pa.string()), pa.array(flags, pa.bool_())], names=[f.name for f in schema])
 
     return df.select(key, field).mapInArrow(work, schema)
+
+
+def with_alleles(df: DataFrame, field: str, name: str) -> DataFrame:
+    """All rows with the alleles of ``field`` as an array; null, empty and ``.`` fields give an empty array."""
+    schema = T.StructType([*df.schema, T.StructField(name, T.ArrayType(T.StringType()))])
+    at = df.columns.index(field)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[value for _, value, _ in parse_alleles(text)] for text in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.string()))], names=[f.name for f in schema])
+
+    return df.mapInArrow(work, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from genomespark.operators import alignments as M
 from genomespark.operators import mutations, reads
 from genomespark.operators import variants as V
+from genomespark.operators.packed import with_alleles
 from genomespark.plans.views import ALN, DNA, Book, aln, dna, protein
 from genomespark.runtime import table
 
@@ -44,11 +45,14 @@ _PLAIN = "regexp_full_match(alt_alleles, '(<[A-Z_]+>|[ACGTN]+)(,(<[A-Z_]+>|[ACGT
 _VARS = f"vars AS (SELECT variant_id, sample_name, contig, start_pos, end_pos, ref_allele, string_split(alt_alleles, ',') AS alts, genotype, list_transform(string_split(regexp_replace(split_part(genotype, ':', 1), '[|]', '/', 'g'), '/'), lambda x: CASE WHEN x = '.' THEN -1 ELSE CAST(x AS INTEGER) END) AS idx FROM simple_variant WHERE {_PLAIN})"
 
 
+def _records(spark, sf_dir):
+    """All records with a contig."""
+    return table(spark, sf_dir, "simple_variant").where("contig IS NOT NULL").select("variant_id", "sample_name", "contig", "start_pos", "end_pos", "ref_allele", "alt_alleles", "genotype")
+
+
 def _vars(spark, sf_dir):
-    """Records whose alleles are written in the standard form."""
-    rows = table(spark, sf_dir, "simple_variant").where("contig IS NOT NULL")
-    plain = F.col("alt_alleles").rlike(r"\A(<[A-Z_]+>|[ACGTN]+)(,(<[A-Z_]+>|[ACGTN]+))*\z") & F.substring_index("genotype", ":", 1).rlike(r"\A([0-9]+|\.)([/|]([0-9]+|\.))*\z")
-    return rows.where(plain).withColumn("alts", F.split("alt_alleles", ","))
+    """All records with a contig and their alternative alleles, however these are packed."""
+    return with_alleles(_records(spark, sf_dir), "alt_alleles", "alts").drop("alt_alleles")
 
 
 @query(f"""WITH {_VARS}, c AS (SELECT variant_id, ref_allele, alts, len(list_filter(idx, lambda i: i <> 0)) = 0 AS is_ref_block FROM vars)
@@ -79,9 +83,9 @@ _COVER = f"{_SNPS}, sites AS (SELECT DISTINCT contig, start_pos AS pos FROM snps
 def _cover(spark, sf_dir):
     """For every SNP position the record of each sample that covers it; of several the one that starts last."""
     sites = _snps(spark, sf_dir).select("contig", F.col("start_pos").alias("pos")).distinct()
-    met = V.covering(sites, _vars(spark, sf_dir).select("variant_id", "sample_name", F.col("contig"), "start_pos", "end_pos", "ref_allele", "alts", "genotype"), "contig", "pos", "start_pos", "end_pos")
+    met = V.covering(sites, _records(spark, sf_dir).drop("alt_alleles"), "contig", "pos", "start_pos", "end_pos")
     pick = F.struct((-F.col("start_pos")).alias("s"), "variant_id")
-    return met.groupBy("contig", "pos", "sample_name").agg(F.min_by(F.struct("variant_id", "start_pos", "ref_allele", "alts", "genotype"), pick).alias("v")).select("contig", "pos", "sample_name", "v.*")
+    return met.groupBy("contig", "pos", "sample_name").agg(F.min_by(F.struct("variant_id", "start_pos", "ref_allele", "genotype"), pick).alias("v")).select("contig", "pos", "sample_name", "v.*")
 
 
 @query(f"WITH {_COVER} SELECT contig, pos, CAST(count(*) AS BIGINT) AS n_samples, string_agg(sample_name || '=' || split_part(genotype, ':', 1), ';' ORDER BY sample_name) AS genotypes FROM best WHERE n = 1 GROUP BY contig, pos")
@@ -115,7 +119,7 @@ SELECT c.contig, c.pos, any_value(c.ref) AS ref, coalesce((SELECT string_agg(DIS
 def vcf_merge_calls(spark, sf_dir):
     """Merged SNP sites with every sample's alleles."""
     sites = _snps(spark, sf_dir).select("contig", F.col("start_pos").alias("pos")).distinct()
-    met = V.covering(sites, _vars(spark, sf_dir).select("variant_id", "sample_name", "contig", "start_pos", "end_pos", "ref_allele", "alts", "genotype"), "contig", "pos", "start_pos", "end_pos")
+    met = V.covering(sites, _vars(spark, sf_dir), "contig", "pos", "start_pos", "end_pos")
     pick = F.struct((-F.col("start_pos")).alias("s"), "variant_id")
     one = met.groupBy("contig", "pos", "sample_name").agg(F.min_by(F.struct("start_pos", "end_pos", "ref_allele", "alts", "genotype"), pick).alias("v")).select("contig", "pos", "sample_name", "v.*")
     return V.merged_calls(one, ["contig", "pos"])
@@ -238,7 +242,7 @@ SELECT variant_id, CASE WHEN alt = '.' OR alt = ref THEN ref || ',<NON_REF>' WHE
 CASE WHEN missing THEN '.' WHEN alt = '.' OR alt = ref THEN '0' ELSE '1' END AS gt, CAST(CASE WHEN missing THEN 0 ELSE 30 END AS INTEGER) AS dp, CASE WHEN missing THEN '0,0' WHEN alt = '.' OR alt = ref THEN '30,0' ELSE '0,30,0' END AS ad, CASE WHEN alt = '.' OR alt = ref THEN '0,90,90' ELSE '90,90,0' END AS pl FROM r""")
 def vcf_rows(spark, sf_dir):
     """Allele, genotype, depth and likelihood text of every record; deletions of more than 3 letters are symbolic."""
-    first = F.get("alts", F.lit(0))
+    first = F.coalesce(F.get("alts", F.lit(0)), F.lit("."))
     alt = F.when(F.startswith(first, F.lit("<")), ".").otherwise(first)
     missing = F.exists(V.genotype_indices(F.col("genotype")), lambda i: i < 0)
     return _vars(spark, sf_dir).select("variant_id", *[c.alias(n) for n, c in M.variant_columns(F.col("ref_allele"), alt, missing, 3).items()])
@@ -247,7 +251,7 @@ def vcf_rows(spark, sf_dir):
 @query(f"WITH {_VARS} SELECT sample_name, variant_id, start_pos, end_pos, split_part(genotype, ':', 1) AS gt FROM vars WHERE contig = 'chr1' AND start_pos <= 10000 AND end_pos >= 10000")
 def vcf_at_position(spark, sf_dir):
     """Records of every sample that cover chr1:10000."""
-    rows = _vars(spark, sf_dir).where("contig = 'chr1' AND start_pos <= 10000 AND end_pos >= 10000")
+    rows = _records(spark, sf_dir).where("contig = 'chr1' AND start_pos <= 10000 AND end_pos >= 10000")
     return rows.select("sample_name", "variant_id", "start_pos", "end_pos", F.substring_index("genotype", ":", 1).alias("gt"))
 
 
