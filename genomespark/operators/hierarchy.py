@@ -136,10 +136,6 @@ def expand_hierarchy(nodes: DataFrame, edges: DataFrame, with_path: bool = False
 
 
 def descendants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ancestor, node, dist) of all pairs of different nodes; nodes on or below circles are left out."""
+    """(ancestor, node, dist) of all pairs of different nodes, those on and below circles too."""
     nodes, edges = cut(nodes), cut(edges)
-    state, still = double(nodes, edges)
-    if still:
-        open_nodes = cut(state.where(~F.col("done")).select("node").distinct())
-        nodes, edges = cut(nodes.join(open_nodes, "node", "left_anti")), cut(edges.join(open_nodes, "node", "left_anti"))
-    return closure(nodes, edges).where("dist > 0").select("ancestor", "node", "dist")
+    return closure(nodes, edges).where("node <> ancestor").select("ancestor", "node", "dist")
