@@ -94,6 +94,20 @@ def pieces_of_lengths(df: DataFrame, key: str, length: str, limit: int = LIMIT,
     return rows.select(key, (F.col("i") + 1).alias("piece_no"), start.alias("piece_start"), F.least(start + limit - 1, F.col(length)).alias("piece_end"))
 
 
+def bisected_lengths(df: DataFrame, key: str, length: str, limit: int = LIMIT) -> DataFrame:
+    """Pieces by ``bisect_pieces`` without boundaries of records of which only the length is known."""
+    schema = T.StructType([df.schema[key], *[T.StructField(c, T.IntegerType()) for c in ("piece_no", "piece_start", "piece_end")]])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, n in zip(batch.column(0), batch.column(1).to_pylist()):  # a batch for each record: one may have many pieces
+                found = bisect_pieces(n, [], limit)
+                columns = [range(1, len(found) + 1), [a for a, _ in found], [b for _, b in found]]
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(found), batch.schema.field(0).type), *[pa.array(c, pa.int32()) for c in columns]], names=[f.name for f in schema])
+
+    return df.where(F.col(length) > limit).select(key, length).mapInArrow(work, schema)
+
+
 def latest_rows(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row of each key that is last by ``order``, as columns; ties go to the larger row."""
     rest = [c for c in df.columns if c != key]

@@ -8,26 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genomespark.llm.leaks import shared_passages
-from genomespark.llm.pieces import bisect_pieces, latest_rows, pieces_of_lengths, split_records
+from genomespark.llm.pieces import bisect_pieces, bisected_lengths, forward_pieces, latest_rows, pieces_of_lengths, split_records, unknown_runs
 from genomespark.llm.runs import collapse_runs, is_ref_block
 from genomespark.llm.sentences import sentence_units
 from genomespark.llm.tokens import encode_corpus
 from genomespark.runtime import fingerprint, table, without_redeliveries
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pieces(spark: SparkSession, sf_dir: str, cut, boundaries, of_lengths) -> DataFrame:
+    """The pieces of all records; of records without text the latest known length counts."""
     records, stats = table(spark, sf_dir, "seq_record"), table(spark, sf_dir, "chrom_stats")
-    pieces, silent = split_records(records, "record_id", "seq", ["loaded_at", "rec_key"])
+    pieces, silent = split_records(records, "record_id", "seq", ["loaded_at", "rec_key"], cut=cut, boundaries=boundaries)
     last = latest_rows(stats.select(F.col("contig").alias("record_id"), "num_region_bps", "loaded_at", "stats_id"), "record_id", "loaded_at")
-    known = pieces_of_lengths(silent.join(last, "record_id").select("record_id", "num_region_bps"), "record_id", "num_region_bps")
+    known = of_lengths(silent.join(last, "record_id").select("record_id", "num_region_bps"), "record_id", "num_region_bps")
     out = pieces.unionByName(known)
     return out.select("record_id", *[F.col(c).cast("int").alias(c) for c in ("piece_no", "piece_start", "piece_end")])
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir, forward_pieces, unknown_runs, pieces_of_lengths)
+
+
 def p1_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records by recursive bisection (other cuts than p1_found's, see README)."""
-    pieces, _ = split_records(table(spark, sf_dir, "seq_record"), "record_id", "seq", ["loaded_at", "rec_key"], cut=bisect_pieces)
-    return pieces
+    return _pieces(spark, sf_dir, bisect_pieces, unknown_runs, bisected_lengths)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
