@@ -26,6 +26,11 @@ def unknown_runs(letters: str) -> list[int]:
     return [m.end() for m in _UNKNOWN.finditer(letters)]
 
 
+def measured_runs(letters: str) -> list[tuple[int, int]]:
+    """As ``unknown_runs``, with the number of letters of each run."""
+    return [(m.end(), m.end() - m.start()) for m in _UNKNOWN.finditer(letters)]
+
+
 def forward_pieces(length: int, boundaries: Sequence[int], limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, int]]:
     """Closed pieces from left to right; each but the last ends at the last boundary that leaves it ``least`` to
     ``limit`` letters, else at ``limit`` letters; each begins ``overlap`` letters before the end of the one before."""
@@ -38,10 +43,13 @@ def forward_pieces(length: int, boundaries: Sequence[int], limit: int = LIMIT, o
     return [*out, (start, length)] if length > 0 else []
 
 
-def bisect_pieces(length: int, boundaries: Sequence[int], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Closed pieces by halving: cut after the boundary nearest the middle if it lies in the middle half, else at the
-    middle; go on with halves above ``limit - overlap``; then lengthen each piece but the first by ``overlap`` to the
-    left.  No recursion on the stack, so the length does not matter."""
+def bisect_pieces(length: int, boundaries: Sequence[int | tuple[int, int]], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """Closed pieces by halving: cut after the strongest boundary in the middle half (of equal ones the nearest to the
+    middle), without one at the middle; go on with halves above ``limit - overlap``; then lengthen each piece but the
+    first by ``overlap`` to the left.  Boundaries are (end, strength), or ends of equal strength, in order.  No recursion
+    on the stack, so the length does not matter."""
+    marks = [(x, 1) if isinstance(x, int) else x for x in boundaries]
+    ends = [x for x, _ in marks]
     parts, todo = [], [(1, length)] if length > 0 else []
     while todo:
         a, b = todo.pop()
@@ -49,15 +57,14 @@ def bisect_pieces(length: int, boundaries: Sequence[int], limit: int = LIMIT, ov
             parts.append((a, b))
             continue
         mid, quarter = (a + b) // 2, (b - a + 1) // 4
-        i = bisect_left(boundaries, mid)
-        near = [x for x in boundaries[max(0, i - 1) : i + 1] if abs(x - mid) <= quarter and a <= x < b]
-        at = min(near, key=lambda x: abs(x - mid)) if near else mid
+        inner = marks[bisect_left(ends, max(a, mid - quarter)) : bisect_right(ends, min(b - 1, mid + quarter))]
+        at = min(inner, key=lambda m: (-m[1], abs(m[0] - mid)))[0] if inner else mid
         todo += [(at + 1, b), (a, at)]
     return [(a if a == 1 else a - overlap, b) for a, b in parts]
 
 
 def split_records(
-    df: DataFrame, key: str, text: str, order: list[str], limit: int = LIMIT, cut: Callable[[int, Sequence[int]], list[tuple[int, int]]] = forward_pieces, boundaries: Callable[[str], list[int]] = unknown_runs
+    df: DataFrame, key: str, text: str, order: list[str], limit: int = LIMIT, cut: Callable[[int, Sequence], list[tuple[int, int]]] = forward_pieces, boundaries: Callable[[str], Sequence] = unknown_runs
 ) -> tuple[DataFrame, DataFrame]:
     """The pieces of records longer than ``limit``, and the keys of records that have no text.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genomespark.llm.leaks import shared_passages
-from genomespark.llm.pieces import bisect_pieces, bisected_lengths, forward_pieces, latest_rows, pieces_of_lengths, split_records, unknown_runs
+from genomespark.llm.pieces import bisect_pieces, bisected_lengths, forward_pieces, latest_rows, measured_runs, pieces_of_lengths, split_records, unknown_runs
 from genomespark.llm.runs import collapse_runs, is_ref_block
 from genomespark.llm.sentences import sentence_units
 from genomespark.llm.tokens import encode_corpus
@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records by recursive bisection (other cuts than p1_found's, see README)."""
-    return _pieces(spark, sf_dir, bisect_pieces, unknown_runs, bisected_lengths)
+    return _pieces(spark, sf_dir, bisect_pieces, measured_runs, bisected_lengths)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,3 +14,10 @@ def test_records_without_text_are_cut_too(spark, tmp_path):
     want = [(k, i, a, b) for k, n in (("text", 5000), ("silent", 7777)) for i, (a, b) in enumerate(P.bisect_pieces(n, []), 1)]
     assert sorted(rows(p1_bisected(spark, str(tmp_path)))) == sorted(want)
     assert {r[0] for r in rows(p1_found(spark, str(tmp_path)))} == {"text", "silent"}
+
+
+def test_the_longest_run_in_the_middle_half_wins():
+    letters = "A" * 1000 + "N" * 300 + "A" * 190 + "N" * 10 + "A" * 1500  # the short run ends at the middle
+    assert P.measured_runs(letters) == [(1300, 300), (1500, 10)]
+    assert P.bisect_pieces(3000, P.measured_runs(letters)) == [(1, 1300), (1201, 3000)]
+    assert P.bisect_pieces(3000, [(1100, 20), (1600, 20), (2400, 900)])[0] == (1, 1600)  # 2,400 is outside the middle half
