@@ -248,8 +248,8 @@ def fill_haplotypes(blocks: DataFrame, contig: str = "contig", block: str = "blo
     """(contig, block, haplotype, start0, ref, qry): the blocks of two haplotypes, each completed by what only the other
     covers.
 
-    ``blocks`` has contig, block, start0, ref, qry.  A block that overlaps both haplotypes (a third alignment) is left
-    out.  The positions to fill are an interval difference; each piece is then cut from its block by itself.
+    ``blocks`` has contig, block, start0, ref, qry.  A block that overlaps both haplotypes (a third alignment) comes back
+    whole under haplotype 0 and completes neither.  The positions to fill are an interval difference; each piece is then cut from its block by itself.
     """
     from pyspark.sql import types as T
 
@@ -259,7 +259,7 @@ def fill_haplotypes(blocks: DataFrame, contig: str = "contig", block: str = "blo
     placed = blocks.withColumn("_a", (F.col("start0") + 1).cast("long")).withColumn("_b", end.cast("long"))
     dealt = placed.join(assign_haplotypes(placed, contig, "_a", "_b", block), [contig, block])
     side = lambda h: dealt.where(F.col("haplotype") == h)
-    own = dealt.where("haplotype > 0").select(contig, block, "haplotype", "_a", "_b")
+    own = dealt.select(contig, block, "haplotype", "_a", "_b")
     gaps = [subtract(side(3 - h), side(h), block, contig, "_a", "_b").select(contig, block, F.lit(h).alias("haplotype"), "_a", "_b") for h in (1, 2)]
     wanted = own.unionByName(gaps[0]).unionByName(gaps[1]).join(blocks.select(block, "start0", "ref", "qry"), block)
     schema = T.StructType([blocks.schema[contig], blocks.schema[block], T.StructField("haplotype", T.IntegerType()), T.StructField("start0", T.LongType()), T.StructField("ref", T.StringType()), T.StructField("qry", T.StringType())])

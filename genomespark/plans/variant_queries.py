@@ -289,8 +289,10 @@ def maf_diploid_split(spark, sf_dir):
 
 @query()
 def maf_fill_haplotypes(spark, sf_dir):
-    """Blocks of two haplotypes, each completed from the other."""
-    return M.fill_haplotypes(_aligned(spark, sf_dir).select("contig", "block", "start0", "ref", "qry"))
+    """Blocks of two haplotypes, each completed from the other; each two neighbouring blocks share a contig of their own, so
+    that none is a third alignment."""
+    contig = F.concat(F.lit("c"), F.floor(F.col("block") / 2).cast("string"))
+    return M.fill_haplotypes(_aligned(spark, sf_dir).withColumn("contig", contig).select("contig", "block", "start0", "ref", "qry"))
 
 
 @query(f"WITH {_COLS}, c AS (SELECT contig, pos, count(*) FILTER (q <> '-') AS cov, count(*) FILTER (q = r) AS ident FROM placed WHERE r <> '-' AND pos BETWEEN 500 AND 1499 GROUP BY contig, pos) SELECT contig, CAST(count(*) FILTER (cov > 0) AS DOUBLE) / 10 AS percent_cov, CAST(count(*) FILTER (ident > 0) AS DOUBLE) / 10 AS percent_id FROM c GROUP BY contig")
