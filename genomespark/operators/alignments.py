@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genomespark.operators.intervals import depth
+from genomespark.operators.ordered import Chunks
+from genomespark.operators.skew import ROWS
 
 
 def states(ref: Column, qry: Column) -> Column:
@@ -153,12 +155,13 @@ def call_blocks(blocks: DataFrame, keys: list[str], ref: str = "ref", qry: str =
     return blocks.select(*keys, ref, qry, start0).mapInArrow(work, schema)
 
 
-def fill_gaps(calls: DataFrame, sizes: DataFrame, contig: str, start: str = "v_start", end: str = "v_end") -> DataFrame:
+def fill_gaps(calls: DataFrame, sizes: DataFrame, contig: str, start: str = "v_start", end: str = "v_end", rows: int = ROWS) -> DataFrame:
     """(contig, start, end) of what lies before, between and after the calls of a contig; ``sizes`` is (contig, size)."""
-    order = Window.partitionBy(contig).orderBy(start, end)
-    reach = calls.select(contig, start, end, F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_r"))
+    c = Chunks(calls.select(contig, start, end), [contig], [start, end], rows)
+    known = c.carried(c.df, {"_e": F.max(end)}, {"_to": F.max("_e").over(c.earlier)})
+    reach = known.select(contig, start, end, F.greatest(F.max(end).over(c.before), "_to").alias("_r"))
     inner = reach.select(contig, (F.coalesce("_r", F.lit(0)) + 1).alias("a"), (F.col(start) - 1).alias("b"))
-    last = calls.groupBy(contig).agg((F.max(end) + 1).alias("a")).join(sizes, contig).select(contig, "a", F.col("size").alias("b"))
+    last = c.df.groupBy(contig).agg((F.max(end) + 1).alias("a")).join(sizes, contig).select(contig, "a", F.col("size").alias("b"))
     return inner.unionByName(last).where("a <= b").select(contig, F.col("a").alias(start), F.col("b").alias(end))
 
 
@@ -207,19 +210,22 @@ def variant_columns(ref: Column, alt: Column, missing: Column, max_deletion: int
 def assign_haplotypes(blocks: DataFrame, contig: str, start: str, end: str, key: str) -> DataFrame:
     """(contig, key, haplotype): 1, 2, or 0 where a third alignment overlaps both.
 
-    Blocks stream through in order of start; only the two open ends of the contig at hand are held.
+    Where no block reaches over a block's start, both haplotypes are free again: such stretches of blocks are dealt by
+    themselves, by many tasks.  The blocks of a stretch stream through in order of start; only two open ends are held.
     """
     from pyspark.sql import types as T
 
+    from genomespark.operators.intervals import with_stretch
+
     schema = T.StructType([blocks.schema[contig], blocks.schema[key], T.StructField("haplotype", T.IntegerType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first, second = None, -1, -1
         for batch in batches:
             out = []
-            for c, s, e in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)]):
-                if c != at:
-                    at, first, second = c, -1, -1
+            for c, s, e, stretch in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4)]):
+                if (c, stretch) != at:
+                    at, first, second = (c, stretch), -1, -1
                 if s > first:
                     first = e
                     out.append(1)
@@ -230,7 +236,8 @@ def assign_haplotypes(blocks: DataFrame, contig: str, start: str, end: str, key:
                     out.append(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=[f.name for f in schema])
 
-    return blocks.select(contig, key, start, end).repartition(contig).sortWithinPartitions(contig, start, end, key).mapInArrow(work, schema)
+    placed = with_stretch(blocks.select(contig, key, start, end), [contig], start, end)
+    return placed.repartition(contig, "_stretch").sortWithinPartitions(contig, "_stretch", start, end, key).mapInArrow(work, schema)
 
 
 def sub_block(ref: str, qry: str, start0: int, first: int, last: int) -> tuple[str, str, int]:

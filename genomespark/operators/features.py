@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genomespark.operators.hierarchy import subtree
+
 # Feature types and the name under which range queries report them.
 REPORTED = {"exon": "exon", "CDS": "cds", "five_prime_UTR": "five_prime_UTR", "three_prime_UTR": "three_prime_UTR", "gene": "gene", "mRNA": "transcript"}
 # Characters that GFF text escapes.
@@ -59,9 +61,9 @@ def discontinuous(df: DataFrame, key: str) -> DataFrame:
     return rows.where(F.size("s") > 1).select(key, F.size("s").cast("long").alias("multiplicity"), F.get("s", F.lit(0))["start_pos"].alias("first"), F.array_max(F.transform("s", lambda x: x["end_pos"])).alias("last"), length.alias("length"), text.alias("spans"))
 
 
-def delete_subtrees(edges: DataFrame, pairs: DataFrame, doomed: DataFrame) -> DataFrame:
-    """Edges that are left when nodes and all their descendants are deleted; ``pairs`` is (ancestor, node)."""
-    gone = doomed.select("node").unionByName(pairs.join(doomed.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi").select("node")).distinct()
+def delete_subtrees(edges: DataFrame, doomed: DataFrame) -> DataFrame:
+    """Links (node, parent) that are left when nodes and all their descendants are deleted."""
+    gone = subtree(edges, doomed)
     return edges.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent")
 
 

@@ -1,10 +1,14 @@
 """Parent-child links to full hierarchies by pointer doubling.
 
-Every node holds pointers to the ancestors that lie exactly ``2^k`` links above it, or to a root nearer than that.
-One join of the pointers with themselves doubles the distance, so a hierarchy of depth ``d`` takes ``log2(d)`` rounds.
-The nodes that still hold an open pointer after round ``k`` are those with an upward walk of ``2^k`` links.  A longest
-walk of finite length shortens by exactly one at each step, so when a round settles no further node, every open node
-has a circle above it and the rounds end.
+Every node holds pointers to the ancestors that lie exactly ``2^k`` links above it.  One join of the pointers with
+themselves doubles the distance, so a hierarchy of depth ``d`` takes ``log2(d)`` rounds.  What reaches a root on the way
+is written down once and met by later pointers, but never worked again.  The nodes that still hold a pointer after round
+``k`` are those with an upward walk of ``2^k`` links.  A longest walk of finite length shortens by exactly one at each
+step, so when a round settles no further node, every node left has a circle above it and the rounds end.  In the same way
+the places pointed at are the nodes with a downward walk of ``2^k`` links; when they become no fewer, they are the circles
+and the ways between circles.
+
+A node with one parent holds one pointer in each round, so the rows of a round are linear in the links.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genomespark.operators.skew import join_skewed
-from genomespark.runtime import clean, cut
+from genomespark.runtime import clean, counted_cut, cut
 
 CYCLE, BELOW_CYCLE = "#cycle", "#below_cycle"
 
@@ -30,48 +34,55 @@ def links(df: DataFrame, node: str, parents: str, name=feature_name) -> tuple[Da
     ignored.  A node that names itself keeps the link (a circle of one).
     """
     rows = df.select(name(F.col(node)).alias("node"), F.col(parents).alias("_p")).where("node IS NOT NULL")
-    nodes = rows.select("node").distinct()
-    pairs = rows.select("node", F.explode("_p").alias("_p")).select("node", name(F.col("_p")).alias("parent")).where("parent IS NOT NULL").distinct()
+    nodes = cut(rows.select("node").distinct())
+    named = rows.select("node", F.explode("_p").alias("_p")).select("node", name(F.col("_p")).alias("parent")).where("parent IS NOT NULL")
+    pairs, n = counted_cut(named.distinct())
     # one parent may hold a large share of the links
-    return nodes, join_skewed(cut(pairs), nodes.withColumnRenamed("node", "parent"), "parent").select("node", "parent")
+    return nodes, cut(join_skewed(pairs, nodes.withColumnRenamed("node", "parent"), "parent", n).select("node", "parent"))
 
 
-def _start(nodes: DataFrame, edges: DataFrame, with_path: bool) -> DataFrame:
-    path = lambda *c: [F.array(*c).alias("path")] if with_path else []
-    roots = nodes.join(edges, "node", "left_anti")
-    done = roots.select("node", F.col("node").alias("ptr"), F.lit(0).alias("dist"), F.lit(True).alias("done"), *path(F.col("node")))
-    open_ = edges.select("node", F.col("parent").alias("ptr"), F.lit(1).alias("dist"), F.lit(False).alias("done"), *path(F.col("node")))
-    return done.unionByName(open_)
-
-
-def _best(state: DataFrame, with_path: bool) -> DataFrame:
+def _best(rows: DataFrame, with_path: bool, keys: list[str]) -> DataFrame:
+    """The row with the smallest distance for each key (of several the one with the first path)."""
     if with_path:
-        best = F.min(F.struct("dist", "path"))
-        return state.groupBy("node", "ptr", "done").agg(best.alias("b")).select("node", "ptr", F.col("b.dist").alias("dist"), "done", F.col("b.path").alias("path"))
-    return state.groupBy("node", "ptr", "done").agg(F.min("dist").alias("dist")).select("node", "ptr", "dist", "done")
+        return rows.groupBy(*keys).agg(F.min(F.struct("dist", "path")).alias("b")).select(*keys, "b.dist", "b.path")
+    return rows.groupBy(*keys).agg(F.min("dist").alias("dist"))
 
 
-def double(nodes: DataFrame, edges: DataFrame, with_path: bool = False, max_rounds: int = 64) -> tuple[DataFrame, int]:
-    """(node, ptr, dist, done) when no further node settles, and the number of nodes that stay open.
+def double(nodes: DataFrame, edges: DataFrame, with_path: bool = False, max_rounds: int = 64) -> tuple[DataFrame, DataFrame, int, int]:
+    """(settled, open, still, distance) when no further node settles.
 
-    Done rows: each root that the node reaches, with the smallest number of links (and the path from the root down).
-    Open rows remain for nodes with a circle above them only.
+    ``settled`` (node, ptr, dist[, path]) has each root that a node reaches by a walk that was followed to its end, with
+    the smallest number of links.  ``open`` (node, ptr) are the pointers over ``distance`` links of the ``still`` nodes
+    that have a circle above them.
     """
-    state = cut(_best(_start(nodes, edges, with_path), with_path))
-    still = state.where(~F.col("done")).select("node").distinct().count()
+    path = ["path"] if with_path else []
+    first = lambda *c: [F.array(*c).alias("path")] if with_path else []
+    roots = nodes.join(edges, "node", "left_anti").select("node", F.col("node").alias("ptr"), F.lit(0).alias("dist"), *first(F.col("node")))
+    settled = [cut(roots)]
+    open_, size = counted_cut(edges.select("node", F.col("parent").alias("ptr"), *first(F.col("node"))))
+    distance, still = 1, open_.select("node").distinct().count()
     for _ in range(max_rounds):
         if not still:
             break
-        kept = state.where("done")
-        todo = state.where(~F.col("done")).withColumnRenamed("ptr", "at")
-        step = state.select(F.col("node").alias("at"), "ptr", F.col("dist").alias("_more"), "done", *([F.col("path").alias("_up")] if with_path else []))
-        met = join_skewed(todo.drop("done"), step, "at")
-        path = [F.concat("_up", "path").alias("path")] if with_path else []
-        state = cut(_best(kept.unionByName(met.select("node", "ptr", (F.col("dist") + F.col("_more")).alias("dist"), "done", *path)), with_path))
-        before, still = still, state.where(~F.col("done")).select("node").distinct().count()
+        todo = open_.withColumnRenamed("ptr", "at")
+        up = lambda df: df.withColumnsRenamed({"node": "at", "path": "_up"})
+        joined = [F.concat("_up", "path").alias("path")] if with_path else []
+        ends = up(settled[0])
+        for part in settled[1:]:
+            ends = ends.unionByName(up(part))
+        met = join_skewed(todo, ends, "at", size).select("node", "ptr", (F.col("dist") + distance).alias("dist"), *joined)
+        settled.append(cut(_best(met, with_path, ["node", "ptr"])))
+        far = join_skewed(todo, up(open_), "at", size).select("node", "ptr", *joined)
+        open_, size = counted_cut(far.groupBy("node", "ptr").agg(F.min("path").alias("path")) if with_path else far.distinct())
+        distance *= 2
+        before, still = still, open_.select("node").distinct().count()
         if still == before:
             break
-    return state, still
+    whole = settled[0]
+    for part in settled[1:]:
+        whole = whole.unionByName(part)
+    # a later round finds longer walks only, so the first row of a pair is the nearest
+    return (_best(whole, with_path, ["node", "ptr"]) if len(settled) > 2 else whole), open_.select("node", "ptr"), still, distance
 
 
 def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -81,33 +92,60 @@ def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     are at most that far apart, so a pair is made about once.  A round without a new pair is the last: a nearest way
     of more links would have a nearest way of fewer links inside it.
     """
-    reach = cut(edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("dist")))
-    exact, links_, size = cut(edges.select("node", F.col("parent").alias("at"))), 1, reach.count()
-    while not exact.isEmpty():
+    reach, size = counted_cut(edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("dist")))
+    exact, n, links_ = edges.select("node", F.col("parent").alias("at")), size, 1
+    while n:
         step = reach.select(F.col("node").alias("at"), "ancestor", "dist")
-        more = join_skewed(exact, step, "at").select("node", "ancestor", (F.col("dist") + links_).alias("dist"))
-        reach = cut(reach.unionByName(more).groupBy("node", "ancestor").agg(F.min("dist").alias("dist")))
-        before, size = size, reach.count()
+        more = join_skewed(exact, step, "at", n).select("node", "ancestor", (F.col("dist") + links_).alias("dist"))
+        before = size
+        reach, size = counted_cut(reach.unionByName(more).groupBy("node", "ancestor").agg(F.min("dist").alias("dist")))
         if size == before:
             break
         far = exact.select(F.col("node").alias("at"), F.col("at").alias("to"))
-        exact, links_ = cut(join_skewed(exact, far, "at").select("node", F.col("to").alias("at")).distinct()), links_ * 2
+        exact, n = counted_cut(join_skewed(exact, far, "at", n).select("node", F.col("to").alias("at")).distinct())
+        links_ *= 2
     own = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist"))
     return own.unionByName(reach)
 
 
-def _on_circles(open_nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def subtree(edges: DataFrame, tops: DataFrame) -> DataFrame:
+    """(node) of ``tops`` and all nodes below them, each once; circles are no trouble.
+
+    Marks spread along pointers over ``2^k`` links, so after round ``k`` every node less than ``2^k`` links below a top has
+    one.  A round that marks no further node is the last.  No pairs are made.
+    """
+    marked, size = counted_cut(tops.select("node").distinct())
+    exact, n = counted_cut(edges.select("node", F.col("parent").alias("at")).distinct())
+    while n and size:
+        more = join_skewed(exact, marked.withColumnRenamed("node", "at"), "at", n).select("node")
+        before = size
+        marked, size = counted_cut(marked.unionByName(more).distinct())
+        if size == before:
+            break
+        far = exact.select(F.col("node").alias("at"), F.col("at").alias("to"))
+        exact, n = counted_cut(join_skewed(exact, far, "at", n).select("node", F.col("to").alias("at")).distinct())
+    return marked
+
+
+def _on_circles(open_nodes: DataFrame, pointers: DataFrame, edges: DataFrame) -> DataFrame:
     """Of nodes below circles, those that are their own ancestor.
 
-    Nodes that have no circle below them are trimmed by the same doubling downwards.  What is left are circles and
-    the ways between circles.  Where no node has two parents there, all of it is circles; else the closure of this
-    remainder (and of nothing more) tells.
+    The places pointed at are the nodes with a walk of that many links below them.  The pointers go on doubling until these
+    become no fewer: then they are circles and the ways between circles.  Where no node has two parents there, all of it
+    is circles; else the closure of this remainder (and of nothing more) tells.
     """
-    inner = edges.join(open_nodes, "node", "left_semi").join(open_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    down = inner.select(F.col("parent").alias("node"), F.col("node").alias("parent"))
-    state, still = double(open_nodes, down)
-    core = cut(state.where(~F.col("done")).select("node").distinct())
-    inside = cut(inner.join(core, "node", "left_semi").join(core.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent"))
+    place = open_nodes.withColumnRenamed("node", "ptr")
+    # above a node without a circle above it there is none either, so only pointers between open nodes matter
+    exact, n = counted_cut(pointers.join(place, "ptr", "left_semi").select("node", "ptr"))
+    core, size = counted_cut(exact.select(F.col("ptr").alias("node")).distinct())
+    while size:
+        far = exact.withColumnRenamed("node", "at")
+        exact, n = counted_cut(join_skewed(exact.withColumnRenamed("ptr", "at"), far, "at", n).select("node", "ptr").distinct())
+        before = size
+        core, size = counted_cut(exact.select(F.col("ptr").alias("node")).distinct())
+        if size == before:
+            break
+    inside = cut(edges.join(core, "node", "left_semi").join(core.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent"))
     if inside.groupBy("node").count().where("count > 1").isEmpty():
         return core
     return closure(core, inside).where("node = ancestor AND dist > 0").select("node").distinct()
@@ -119,23 +157,21 @@ def expand_hierarchy(nodes: DataFrame, edges: DataFrame, with_path: bool = False
     A node on a circle gives one row (``#cycle``, -1), a node below a circle one row (``#below_cycle``, -1) even if it
     also has a root; every other node gives a row for each root, with the smallest number of links.  ``path`` is the
     array of node names from the root down to the node along such a way (of several, the first in order); it is null
-    for circles.  An empty table of nodes gives no rows.
+    for circles.  An empty table of nodes gives no rows.  ``nodes`` and ``edges`` are those of :func:`links`.
     """
-    nodes, edges = cut(nodes), cut(edges)
-    state, still = double(nodes, edges, with_path)
-    cols = ["node", F.col("ptr").alias("root"), F.col("dist").alias("depth")] + (["path"] if with_path else [])
+    settled, pointers, still, _ = double(nodes, edges, with_path)
+    out = settled.select("node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), *(["path"] if with_path else []))
     if not still:
-        return state.where("done").select(*cols)
-    open_nodes = cut(state.where(~F.col("done")).select("node").distinct())
-    circles = cut(_on_circles(open_nodes, edges))
-    settled = state.where("done").join(open_nodes, "node", "left_anti").select(*cols)
-    rest = open_nodes.join(circles, "node", "left_anti")
+        return out
+    pointers = cut(pointers)
+    open_nodes = cut(pointers.select("node").distinct())
+    circles = cut(_on_circles(open_nodes, pointers, edges))
     extra = [F.lit(None).cast("array<string>").alias("path")] if with_path else []
     mark = lambda df, tag: df.select("node", F.lit(tag).alias("root"), F.lit(-1).alias("depth"), *extra)
-    return settled.unionByName(mark(circles, CYCLE)).unionByName(mark(rest, BELOW_CYCLE))
+    rest = open_nodes.join(circles, "node", "left_anti")
+    return out.join(open_nodes, "node", "left_anti").unionByName(mark(circles, CYCLE)).unionByName(mark(rest, BELOW_CYCLE))
 
 
 def descendants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(ancestor, node, dist) of all pairs of different nodes, those on and below circles too."""
-    nodes, edges = cut(nodes), cut(edges)
     return closure(nodes, edges).where("node <> ancestor").select("ancestor", "node", "dist")

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genomespark.operators.ordered import Chunks
+from genomespark.operators.skew import ROWS
+
 #: Width of a bin of the overlap join; about the usual length of an interval works best.
 BIN = 4096
 
@@ -54,24 +57,37 @@ def intersections(a: DataFrame, b: DataFrame, seqid: str, start: str, end: str,
     return met.select(seqid, F.greatest(start, "_s").alias(start), F.least(end, "_e").alias(end)).distinct()
 
 
-def merge(df: DataFrame, seqid: list[str], start: str, end: str, within: int = 0) -> DataFrame:
-    """Ranges joined where the next starts at most ``within`` beyond the end reached: (seqid, start, end, n_ranges)."""
-    order = Window.partitionBy(*seqid).orderBy(start, end)
-    rows = df.where(F.col(start) <= F.col(end)).withColumn("_reach", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+def with_stretch(df: DataFrame, seqid: list[str], start: str, end: str, within: int = 0, rows: int = ROWS) -> DataFrame:
+    """Sound ranges with ``_stretch``, the first position of the stretch of ranges that a range belongs to.
+
+    A range goes on with the stretch before if it starts at most ``within`` beyond the end reached.  Ordered chunks of
+    bounded size are worked by themselves; how far earlier chunks reach, and which stretch they leave open, are carries.
+    """
+    sound = df.where(F.col(start) <= F.col(end))
+    c = Chunks(sound, seqid, [start, end], rows)
+    reach = c.carried(c.df, {"_e": F.max(end)}, {"_to": F.max("_e").over(c.earlier)}).withColumn("_reach", F.greatest(F.max(end).over(c.before), "_to"))
     opens = F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + within)
-    island = rows.withColumn("_n", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*seqid, "_n").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_ranges")).drop("_n")
+    first = reach.withColumn("_first", F.max(F.when(opens, F.col(start))).over(c.upto))
+    known = c.carried(first, {"_f": F.max("_first")}, {"_from": F.max("_f").over(c.earlier)})
+    return known.withColumn("_stretch", F.coalesce("_first", "_from")).select(*df.columns, "_stretch")
+
+
+def merge(df: DataFrame, seqid: list[str], start: str, end: str, within: int = 0, rows: int = ROWS) -> DataFrame:
+    """Ranges joined where the next starts at most ``within`` beyond the end reached: (seqid, start, end, n_ranges)."""
+    each = with_stretch(df.select(*seqid, start, end), seqid, start, end, within, rows)
+    whole = each.groupBy(*seqid, "_stretch").agg(F.max(end).alias("_end"), F.count("*").alias("n_ranges"))
+    return whole.select(*seqid, F.col("_stretch").alias(start), F.col("_end").alias(end), "n_ranges")
 
 
-def complement(bounds: DataFrame, df: DataFrame, seqid: str, start: str, end: str) -> DataFrame:
+def complement(bounds: DataFrame, df: DataFrame, seqid: str, start: str, end: str, rows: int = ROWS) -> DataFrame:
     """What the ranges leave uncovered of each bound (seqid, start, end); one bound per seqid."""
     limit = bounds.select(F.col(seqid).alias("_q"), F.col(start).alias("_lo"), F.col(end).alias("_hi"))
-    whole = merge(df, [seqid], start, end, 1)
-    clipped = limit.join(whole, F.col("_q").eqNullSafe(F.col(seqid)) & (F.col(start) <= F.col("_hi")) & (F.col(end) >= F.col("_lo")), "left")
-    order = Window.partitionBy("_q").orderBy(start)
-    spans = clipped.select("_q", "_lo", "_hi", start, end, F.coalesce(F.lag(end).over(order) + 1, F.col("_lo")).alias("_from"), F.lead(start).over(order).alias("_next"))
-    before = spans.select("_q", F.col("_from").alias("a"), F.coalesce(F.col(start) - 1, F.col("_hi")).alias("b"))
-    after = spans.where(F.col("_next").isNull() & F.col(end).isNotNull()).select("_q", (F.col(end) + 1).alias("a"), F.col("_hi").alias("b"))
+    c = Chunks(merge(df, [seqid], start, end, 1, rows).drop("n_ranges"), [seqid], [start], rows)
+    whole = c.carried(c.df, {"_e": F.max(end)}, {"_to": F.max("_e").over(c.earlier)}).withColumn("_was", F.coalesce(F.lag(end).over(c.here), "_to"))
+    same = F.col("_q").eqNullSafe(F.col(seqid))
+    before = limit.join(whole, same).select("_q", F.greatest("_lo", F.col("_was") + 1).alias("a"), F.least(F.col(start) - 1, "_hi").alias("b"))
+    last = c.df.groupBy(seqid).agg(F.max(end).alias("_last"))
+    after = limit.join(last, same, "left").select("_q", F.greatest("_lo", F.col("_last") + 1).alias("a"), F.col("_hi").alias("b"))
     return before.unionByName(after).where("a <= b").select(F.col("_q").alias(seqid), F.col("a").alias(start), F.col("b").alias(end))
 
 
@@ -114,13 +130,15 @@ def windows_of(df: DataFrame, start: str, end: str, length: int, step: int = 1)
     return rows.withColumn("w_start", F.explode(F.sequence(F.col(start), F.col(end) - length, F.lit(step)))).withColumn("w_end", F.col("w_start") + length - 1)
 
 
-def depth(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+def depth(df: DataFrame, keys: list[str], start: str, end: str, rows: int = ROWS) -> DataFrame:
     """(keys, start, end, depth): maximal stretches covered by the same number of ranges, from changes at the edges."""
     sound = df.where(F.col(start) <= F.col(end))
-    change = sound.select(*keys, F.col(start).alias("at"), F.lit(1).alias("d")).unionByName(sound.select(*keys, (F.col(end) + 1).alias("at"), F.lit(-1).alias("d")))
-    sums = change.groupBy(*keys, "at").agg(F.sum("d").alias("d")).where("d <> 0")
-    order = Window.partitionBy(*keys).orderBy("at")
-    run = sums.select(*keys, F.col("at").alias(start), (F.lead("at").over(order) - 1).alias(end), F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    change = sound.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct((F.col(end) + 1).alias("at"), F.lit(-1).alias("d")))).alias("c")).select(*keys, "c.at", "c.d")
+    c = Chunks(change.groupBy(*keys, "at").agg(F.sum("d").alias("d")).where("d <> 0"), keys, ["at"], rows)
+    known = c.carried(c.df, {"_d": F.sum("d"), "_last": F.max("at")}, {"_base": F.sum("_d").over(c.earlier), "_was": F.max("_last").over(c.earlier)})
+    # each change ends the stretch since the change before it
+    deep = F.coalesce(F.sum("d").over(c.before), F.lit(0)) + F.coalesce("_base", F.lit(0))
+    run = known.select(*keys, F.coalesce(F.lag("at").over(c.here), "_was").alias(start), (F.col("at") - 1).alias(end), deep.alias("depth"))
     return run.where("depth > 0")
 
 

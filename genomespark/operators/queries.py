@@ -12,7 +12,7 @@ from genomespark.operators.packed import explode_packed
 from genomespark.operators.periods import periods
 from genomespark.operators.rejects import reject_lines, valid_lines
 from genomespark.operators.skew import dominant_keys, profile_by_key
-from genomespark.runtime import clean, cut, fingerprint, table, without_redeliveries
+from genomespark.runtime import clean, fingerprint, table, without_redeliveries
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, column, key in (("sam_record", "target_name", "record_id"), ("simple_variant", "contig", "variant_id")):
-        counts = cut(_profile(table(spark, sf_dir, name), column, key, {}))
+        counts = _profile(table(spark, sf_dir, name), column, key, {})
         parts.append(dominant_keys(counts, "_key", 0.05).select(F.lit(f"{name}.{column}").alias("field_name"), F.col("_key").alias("key_value")))
     return parts[0].unionByName(parts[1])
 

@@ -2,7 +2,7 @@
 
 Structure (quotes, number of columns) is judged line by line.  Values are judged once each: the distinct values of a
 column are cast in one pass, those that fail form a dictionary of invalid values with reasons, and the dictionary is
-joined back to the lines.  The join carries a salt, so that one value in a third of all lines is no hot group.
+joined back to the lines.  A value that many lines hold is dealt to parts by their number, so that it is no hot group.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genomespark.operators.skew import ROWS
+from genomespark.runtime import cut
+
 #: The reasons in their order; the first that applies is reported.
 REASONS = ["quoting", "columns", "coordinates", "score", "strand", "phase", "attributes"]
 #: The nine columns of a feature line.
 FIELDS = ["seqid", "feature_source", "feature_type", "start_text", "end_text", "score_text", "strand", "phase", "attributes"]
-_SALTS = 16
 _TAB, _SEMI, _EQ, _COMMA = "\x01", "\x02", "\x03", "\x04"
 
 
@@ -47,11 +49,11 @@ def split_lines(lines: DataFrame, text: str = "line_text") -> DataFrame:
 
 
 def invalid_values(judged: DataFrame) -> DataFrame:
-    """The dictionary of invalid values: (column_no, value, reason_no), each distinct value judged once.
+    """The dictionary of invalid values: (column_no, value, reason_no, n_cells), each distinct value judged once.
 
-    ``judged`` has column_no and the masked value.
+    ``judged`` has column_no and the masked value; ``n_cells`` is how many of its rows hold the value.
     """
-    distinct = judged.select("column_no", "value").distinct()
+    distinct = judged.groupBy("column_no", "value").agg(F.count("*").alias("n_cells"))
     value, at = F.col("value"), F.col("column_no")
     number = F.when(value.rlike(r"\A[0-9]+\z"), F.expr("try_cast(value AS INT)"))
     parts = F.split(F.regexp_replace(value, r";\z", ""), ";", -1)
@@ -67,7 +69,7 @@ def invalid_values(judged: DataFrame) -> DataFrame:
         .otherwise(~whole | twice | ids)
     )
     reason = F.when(at.isin(2, 3), 2).otherwise(at - 1)
-    return distinct.where(bad).select("column_no", "value", reason.cast("int").alias("reason_no"))
+    return distinct.where(bad).select("column_no", "value", reason.cast("int").alias("reason_no"), "n_cells")
 
 
 def reject_lines(lines: DataFrame, key: str = "line_key", text: str = "line_text") -> DataFrame:
@@ -85,9 +87,14 @@ def reject_lines(lines: DataFrame, key: str = "line_key", text: str = "line_text
 
     columns = [F.struct(F.lit(n).alias("column_no"), field(i).alias("value")) for n, i in ((2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8))]
     values = sound.select(key, F.explode(F.array(*columns)).alias("v")).select(key, "v.column_no", "v.value")
-    salt = F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int")
-    dictionary = invalid_values(values).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    by_value = values.withColumn("_salt", salt).join(dictionary, ["column_no", "value", "_salt"]).select(key, "reason_no")
+    # the dictionary knows how many cells hold each invalid value: those of a hot one are dealt to as many parts as it has
+    # times ROWS cells; there are at most as many hot values as all cells have times ROWS cells
+    dictionary = cut(invalid_values(values))
+    hot = dictionary.where(F.col("n_cells") > ROWS).select("column_no", "value", F.ceil(F.col("n_cells") / ROWS).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = values.join(F.broadcast(hot), ["column_no", "value"], "left").withColumn("_part", F.pmod(F.xxhash64(key), parts))
+    copies = dictionary.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_cells") / ROWS) - 1)))
+    by_value = dealt.join(copies, ["column_no", "value", "_part"]).select(key, "reason_no")
 
     names = F.array(*[F.lit(r) for r in REASONS])
     found = first.unionByName(between).unionByName(by_value).groupBy(key).agg(F.min("reason_no").alias("n"))

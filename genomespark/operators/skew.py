@@ -1,9 +1,8 @@
 """Per-key work where a few keys hold most rows.
 
-Heavy keys are found with a mergeable frequent-items sketch in one narrow pass.  The sketch names at most
-``tracked`` candidates whatever the size of the input, so the table of heavy keys may always be broadcast.
-Rows of heavy keys are spread over many tasks by a hash of the row; all other rows take an ordinary shuffle by key;
-the two results are put together with a union.
+Heavy keys are found with a mergeable frequent-items sketch in one narrow pass over the key column.  The sketch names at
+most ``TRACKED`` candidates whatever the size of the input, so the table of heavy keys may always be broadcast.  Into how
+many parts a key is cut follows from its number of rows: no part holds much more than ``ROWS``.
 """
 
 from __future__ import annotations
@@ -11,57 +10,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Items the sketch tracks.  Its counts are off by at most 3.5/TRACKED of all rows, far below any share used here.
+from genomespark.runtime import cut
+
+#: Items the sketch tracks.  Its counts are too high by at most 3.5/TRACKED of all rows.
 TRACKED = 4096
+#: Rows that one task may well work by itself.
+ROWS = 1_000_000
 
 
-def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """The keys that may hold at least ``share`` of the rows: one column named like ``key``.
+def heavy_counts(df: DataFrame, key: str, rows: int | None = None, share: float = 0.0) -> DataFrame:
+    """(key, n_rows, total) of the keys that may hold more than ``rows`` rows and at least ``share`` of all.
 
-    No key with that share is missed; a key slightly below it may come along, which costs nothing but its salting.
-    Null keys are no candidates.  An empty table gives no rows.  At most ``ceil(2/share)`` rows come out.
+    ``n_rows`` is never too small, and too large by at most 3.5/TRACKED of ``total``, the number of rows with a key.
+    Without ``rows``, it is what one of twice as many tasks as there are cores would hold, but at most ``ROWS``.  No such
+    key is missed unless it holds less than 3.5/TRACKED of the rows.  An empty table gives no rows.
     """
-    k = min(int(2 / share) + 1, TRACKED)
-    sketch = df.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {k}, {TRACKED})").alias("top"), F.count("*").alias("n"))
-    slack = 3.5 / TRACKED
-    return (
-        sketch.select(F.explode("top").alias("t"), "n")
-        .where(F.col("t.count") >= F.greatest(F.lit(2.0), (F.lit(share) - slack) * F.col("n")))
-        .select(F.col("t.item").alias(key))
-    )
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    sketch = df.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {TRACKED}, {TRACKED})").alias("top"), F.count("*").alias("total"))
+    least = F.least(F.lit(ROWS), F.ceil(F.col("total") / (2 * cores))) if rows is None else F.lit(rows)
+    each = sketch.select(F.explode("top").alias("t"), "total", least.cast("long").alias("part_rows"))
+    found = each.where((F.col("t.count") > F.col("part_rows")) & (F.col("t.count") >= F.lit(share) * F.col("total")))
+    return found.select(F.col("t.item").alias(key), F.col("t.count").alias("n_rows"), "total", "part_rows")
 
 
-def heavy_and_light(df: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]:
-    """The rows of heavy keys, and all other rows (null keys with them)."""
-    heavy = F.broadcast(heavy_keys(df, key, share))
-    return df.join(heavy, key, "left_semi"), df.join(heavy, key, "left_anti")
+def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
+    """The keys that may hold at least ``share`` of the rows; a key slightly below it may come along."""
+    return heavy_counts(df, key, 1, max(share, 3.5 / TRACKED)).select(key)
 
 
-def profile_by_key(
-    df: DataFrame, key: str, row_hash: list[str], aggregates: dict[str, tuple[Column, str]], share: float = 0.02, salts: int = 64
-) -> DataFrame:
+def profile_by_key(df: DataFrame, key: str, row_hash: list[str], aggregates: dict[str, tuple[Column, str]], rows: int | None = None) -> DataFrame:
     """Per-key results over distinct rows, evenly worked.
 
     ``row_hash`` names the columns that tell rows apart: rows that agree in them and in the key count once.
     ``aggregates`` maps an output name to (expression, how), where how is ``sum``, ``min`` or ``max``; ``n_rows`` is
-    always added.  Heavy keys are worked as (key, salt) groups with a second, tiny step per key; the rest is shuffled
-    once by key.  Rows with a null key are left out.  The result has one row per key.
+    always added.  Rows with a null key are left out.  The result has one row per key.
+
+    Rows meet a broadcast of the heavy keys, which deals those of a heavy key to as many parts as its size asks for (rows
+    that may be equal to the same part), and leaves all others in one.  One exchange by (key, part) then serves the
+    distinct step and the results of the parts.  Light keys are done there; the parts of heavy keys, a row each, take a
+    second step, and the two are put together with a union.
     """
     values = [e.alias(f"_v{i}") for i, (e, _) in enumerate(aggregates.values())]
-    rows = df.where(F.col(key).isNotNull()).select(key, *row_hash, *values)
-    heavy, light = heavy_and_light(rows, key, share)
     once = [F.first(f"_v{i}").alias(f"_v{i}") for i in range(len(values))]
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
     first = [fold[how](f"_v{i}").alias(name) for i, (name, (_, how)) in enumerate(aggregates.items())]
     again = [fold[how](name).alias(name) for name, (_, how) in aggregates.items()]
 
-    salted = heavy.withColumn("_salt", F.pmod(F.xxhash64(*row_hash), F.lit(salts)))
-    # the exchange by (key, salt) serves the distinct step and the partial result alike
-    spread = salted.groupBy(key, "_salt", *row_hash).agg(*once) if once else salted.select(key, "_salt", *row_hash).distinct()
-    of_heavy = spread.groupBy(key, "_salt").agg(F.count("*").alias("n_rows"), *first).groupBy(key).agg(F.sum("n_rows").alias("n_rows"), *again)
-    plain = light.groupBy(key, *row_hash).agg(*once) if once else light.select(key, *row_hash).distinct()
-    of_light = plain.groupBy(key).agg(F.count("*").alias("n_rows"), *first)
-    return of_heavy.unionByName(of_light)
+    parts = heavy_counts(df, key, rows).select(key, F.ceil(F.col("n_rows") / F.col("part_rows")).cast("int").alias("_parts"))
+    heavy = cut(parts)  # two runs of a sketch may differ
+    dealt = df.where(F.col(key).isNotNull()).select(key, *row_hash, *values).join(F.broadcast(heavy), key, "left")
+    dealt = dealt.withColumn("_part", F.when(F.col("_parts").isNull(), -1).otherwise(F.pmod(F.xxhash64(*row_hash), F.col("_parts")))).drop("_parts")
+    spread = dealt.repartition(key, "_part")
+    distinct = spread.groupBy(key, "_part", *row_hash).agg(*once) if once else spread.select(key, "_part", *row_hash).distinct()
+    done = cut(distinct.groupBy(key, "_part").agg(F.count("*").alias("n_rows"), *first))
+    of_heavy = done.where("_part >= 0").groupBy(key).agg(F.sum("n_rows").alias("n_rows"), *again)
+    return of_heavy.unionByName(done.where("_part < 0").drop("_part"))
 
 
 def dominant_keys(counts: DataFrame, key: str, share: float) -> DataFrame:
@@ -70,15 +73,18 @@ def dominant_keys(counts: DataFrame, key: str, share: float) -> DataFrame:
     return counts.join(F.broadcast(total), F.col("n_rows") / F.col("_total") >= share).select(key)
 
 
-def join_skewed(left: DataFrame, right: DataFrame, key: str, share: float = 0.02, how: str = "inner") -> DataFrame:
-    """Join where some keys hold a large share of ``left`` and ``right`` has few rows per key.
+def join_skewed(left: DataFrame, right: DataFrame, key: str, size: int | None = None, rows: int = ROWS) -> DataFrame:
+    """Inner join where some keys hold very many rows of ``left``; ``size`` is the number of rows of ``left``, if known.
 
-    The heavy keys, at most ``ceil(2/share)`` of them, come to the driver; their rows meet a broadcast of the matching rows
-    of ``right``, the rest is an ordinary shuffle join.
+    A key with more than ``rows`` rows is cut into as many parts as it has times ``rows`` rows, and its rows of ``right``
+    are copied to each part: both sides are shuffled, nothing but the keys' names (at most ``TRACKED``) is broadcast.  A
+    table of at most ``rows`` rows has no such key and is joined as it is.
     """
-    hot = [r[0] for r in heavy_keys(left, key, share).collect()]
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    rest = F.coalesce(~is_hot, F.lit(True))
-    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).unionByName(left.where(rest).join(right.where(rest), key, how))
+    size = left.count() if size is None else size
+    if size <= rows:
+        return left.join(right, key)
+    hot = cut(heavy_counts(left, key, rows).select(key, F.ceil(F.col("n_rows") / rows).cast("int").alias("_parts")))  # small, and read on both sides
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), parts)).drop("_parts")
+    copies = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("_part", F.col("_part").cast("long")).drop("_parts")
+    return spread.join(copies, [key, "_part"]).drop("_part")

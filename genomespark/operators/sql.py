@@ -12,14 +12,19 @@ below AS (SELECT DISTINCT node FROM reach WHERE anc IN (SELECT node FROM circle)
 free AS (SELECT node FROM ids WHERE node NOT IN (SELECT node FROM circle) AND node NOT IN (SELECT node FROM below)),
 walk AS (SELECT node, node AS anc, 0 AS d FROM free UNION SELECT w.node, e.parent, w.d + 1 FROM walk w JOIN edges e ON e.node = w.anc)
 """
+# ways without a node twice, from every node: the shortest way to each ancestor is among them, on circles too
+_WAYS = f"""{_LINKS.rstrip()},
+ways AS (SELECT node, parent AS anc, 1 AS d, [node, parent] AS seen FROM edges WHERE node <> parent
+         UNION ALL SELECT w.node, e.parent, w.d + 1, list_append(w.seen, e.parent) FROM ways w JOIN edges e ON e.node = w.anc WHERE NOT list_contains(w.seen, e.parent))
+"""
 
 P3_FOUND = f"""WITH RECURSIVE {_LINKS}
 SELECT node AS feature_id, '#cycle' AS root_id, CAST(-1 AS INTEGER) AS node_depth FROM (SELECT DISTINCT node FROM circle)
 UNION ALL SELECT node, '#below_cycle', CAST(-1 AS INTEGER) FROM below
 UNION ALL SELECT node, anc, CAST(min(d) AS INTEGER) FROM walk WHERE anc NOT IN (SELECT node FROM edges) GROUP BY node, anc"""
 
-P3_DESCENDANTS = f"""WITH RECURSIVE {_LINKS}
-SELECT anc AS feature_id, node AS descendant_id, CAST(min(d) AS INTEGER) AS n_links FROM walk WHERE d > 0 GROUP BY anc, node"""
+P3_DESCENDANTS = f"""WITH RECURSIVE {_WAYS}
+SELECT anc AS feature_id, node AS descendant_id, CAST(min(d) AS INTEGER) AS n_links FROM ways GROUP BY anc, node"""
 
 P3_PATHS = f"""WITH RECURSIVE {_LINKS},
 named AS (SELECT node, node AS anc, 0 AS d, [node] AS path FROM free

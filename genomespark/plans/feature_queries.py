@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from genomespark.operators import features as G
 from genomespark.operators import ontology
 from genomespark.operators.hierarchy import descendants, feature_name, links
-from genomespark.operators.sql import _LINKS, _NAME
+from genomespark.operators.sql import _LINKS, _NAME, _WAYS
 from genomespark.plans.views import Book
-from genomespark.runtime import cut, table
+from genomespark.runtime import table
 
 BOOK = Book()
 query = BOOK.query
@@ -61,21 +61,20 @@ def tree_children(spark, sf_dir):
     return edges.select("parent", F.col("node").alias("child"))
 
 
-@query(f"WITH RECURSIVE {_LINKS} SELECT node, CAST(count(DISTINCT anc) AS BIGINT) AS n_ancestors, CAST(max(d) AS INTEGER) AS farthest FROM (SELECT node, anc, min(d) AS d FROM walk WHERE d > 0 GROUP BY node, anc) GROUP BY node")
+@query(f"WITH RECURSIVE {_WAYS} SELECT node, CAST(count(DISTINCT anc) AS BIGINT) AS n_ancestors, CAST(max(d) AS INTEGER) AS farthest FROM (SELECT node, anc, min(d) AS d FROM ways GROUP BY node, anc) GROUP BY node")
 def tree_ancestors(spark, sf_dir):
     nodes, edges = links(_features(spark, sf_dir), "feature_id", "parents")
     return descendants(nodes, edges).groupBy("node").agg(F.count("*").alias("n_ancestors"), F.max("dist").alias("farthest"))
 
 
 @query(f"""WITH RECURSIVE {_LINKS}, doomed AS (SELECT DISTINCT {_NAME.format(c='feature_id')} AS node FROM gff_feature WHERE feature_type = 'gene' AND strand = '-' AND {_NAME.format(c='feature_id')} IS NOT NULL),
-gone AS (SELECT node FROM doomed UNION SELECT node FROM walk WHERE anc IN (SELECT node FROM doomed)) SELECT node, parent FROM edges WHERE node NOT IN (SELECT node FROM gone) AND parent NOT IN (SELECT node FROM gone)""")
+gone AS (SELECT node FROM doomed UNION SELECT node FROM reach WHERE anc IN (SELECT node FROM doomed)) SELECT node, parent FROM edges WHERE node NOT IN (SELECT node FROM gone) AND parent NOT IN (SELECT node FROM gone)""")
 def tree_cascade_delete(spark, sf_dir):
     """Links that are left when all genes of the minus strand go with their subtrees."""
     rows = _features(spark, sf_dir)
-    nodes, edges = links(rows, "feature_id", "parents")
-    nodes, edges = cut(nodes), cut(edges)
+    _, edges = links(rows, "feature_id", "parents")
     doomed = rows.where("feature_type = 'gene' AND strand = '-'").select(feature_name("feature_id").alias("node")).where("node IS NOT NULL").distinct()
-    return G.delete_subtrees(edges, descendants(nodes, edges).select("ancestor", "node"), doomed)
+    return G.delete_subtrees(edges, doomed)
 
 
 _ONTO = ontology.parse(ontology.MINI)

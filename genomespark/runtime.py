@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,11 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; make one only where none is set (tests)."""
+    """Use the shared folder in ``spark.checkpoint.dir``; a local master may do without one, a cluster may not.
+
+    Files of checkpoints go with their tables where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="genomespark-checkpoint-"))
 
 
@@ -29,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """As :func:`cut`, with the number of rows, counted while they are written."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return done, seen.get["n"]
+
+
 def clean(text: Column | str) -> Column:
     """The text without surrounding white space; null where nothing is left."""
     text = F.col(text) if isinstance(text, str) else text

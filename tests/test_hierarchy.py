@@ -40,7 +40,7 @@ def brute(data):
             found.append((n, "#below_cycle", -1))
         else:
             found += [(r, q, d) for r, q, d in [(n, a, d) for a, d in ({n: 0} | anc[n]).items()] if not up[q]]
-            pairs += [(a, n, d) for a, d in anc[n].items()]
+        pairs += [(a, n, d) for a, d in anc[n].items() if a != n]
     return found, pairs
 
 
@@ -77,3 +77,27 @@ def test_two_circles_joined_by_a_way_and_a_long_chain(spark):
 def test_empty(spark):
     nodes, edges = links(spark.createDataFrame([], "feature_id string, parents array<string>"), "feature_id", "parents")
     assert expand_hierarchy(nodes, edges).count() == 0
+
+
+def test_rows_are_linear_below_a_circle(spark):
+    """A circle of two with a long chain below it, and a leaf on each node of the chain: no state of all pairs."""
+    from genomespark.operators.hierarchy import double
+
+    n = 150
+    data = [("a", ["b"]), ("b", ["a"]), ("c0", ["a"]), *[(f"c{i}", [f"c{i - 1}"]) for i in range(1, n)], *[(f"l{i}", [f"c{i}"]) for i in range(n)]]
+    nodes, edges = links(spark.createDataFrame(data, "feature_id string, parents array<string>"), "feature_id", "parents")
+    settled, pointers, still, _ = double(nodes, edges)
+    assert still == 2 * n + 2 and settled.count() == 0 and pointers.count() == 2 * n + 2
+    got = expand_hierarchy(nodes, edges).groupBy("root").count().collect()
+    assert {r.root: r["count"] for r in got} == {"#cycle": 2, "#below_cycle": 2 * n}
+
+
+def test_hot_parents_are_cut_into_parts(spark, monkeypatch):
+    from genomespark.operators import hierarchy
+    from genomespark.operators.skew import join_skewed
+
+    monkeypatch.setattr(hierarchy, "join_skewed", lambda left, right, key, size=None: join_skewed(left, right, key, size, rows=50))
+    data = [("top", None), ("mid", ["top"]), *[(f"n{i}", ["mid"]) for i in range(400)], *[(f"m{i}", [f"n{i}"]) for i in range(40)]]
+    nodes, edges = links(spark.createDataFrame(data, "feature_id string, parents array<string>"), "feature_id", "parents")
+    got = sorted(rows(expand_hierarchy(nodes, edges)))
+    assert got == sorted([("top", "top", 0), ("mid", "top", 1), *[(f"n{i}", "top", 2) for i in range(400)], *[(f"m{i}", "top", 3) for i in range(40)]])
