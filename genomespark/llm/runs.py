@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomespark.operators.ordered import with_chunks
-from genomespark.runtime import cut
+from genomespark.operators.ordered import Chunks
+from genomespark.operators.skew import ROWS
 
 
 def is_ref_block(flag: str, genotype: str) -> Column:
@@ -15,40 +15,43 @@ def is_ref_block(flag: str, genotype: str) -> Column:
     return F.coalesce(F.col(flag), F.btrim(first).rlike(r"\A0([/|]0)*\z"), F.lit(False))
 
 
-def collapse_runs(df: DataFrame, keys: list[str], start: str, end: str, tie: str, member: Column, max_gap: int, least: int = 2) -> DataFrame:
+def collapse_runs(df: DataFrame, keys: list[str], start: str, end: str, tie: str, member: Column, max_gap: int, least: int = 2, rows: int = ROWS) -> DataFrame:
     """(keys, first_start, last_end, n_records): a row per run of at least ``least`` members.
 
     Rows of a key are ordered by start, end, tie.  A member continues the run if the row before it belongs to the run
     and at most ``max_gap`` uncovered positions lie between the run's furthest end and its start.  Rows with a null key
-    or position are left out; an end before its start counts as the start.
+    or position are left out; an end before its start counts as the start.  An empty table gives no rows.
 
-    Within a chunk only boundary rows are kept: rows that open a run, that go on with the run of the chunk before, or
-    that end one.  ``lead`` over their row numbers gives the counts, and the furthest end seen before the next boundary
-    gives the stretch.  What chunks must know of those before them (strangers so far, how far the open run reaches,
-    runs so far) is one row a chunk.
+    Within a chunk of about ``rows`` rows only boundary rows are kept: rows that open a run, that go on with the run of the
+    chunk before, or that end one.  ``lead`` over their row numbers gives the counts, and the furthest end seen before the
+    next boundary gives the stretch.  What a chunk must know of those before it are carries of one row a chunk: how far
+    the open streak reaches, and how many runs were opened.
     """
-    rows = df.dropna(subset=[*keys, start, end]).select(*keys, F.col(start).alias("_s"), F.greatest(start, end).alias("_e"), F.col(tie).alias("_t"), member.alias("_m"))
-    rows = cut(with_chunks(rows, keys, "_s"))
-    group = [*keys, "_chunk"]
-    here, whole, earlier = Window.partitionBy(*group).orderBy("_s", "_e", "_t"), Window.partitionBy(*group), Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    upto, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    each = df.dropna(subset=[*keys, start, end]).select(*keys, F.col(start).alias("_s"), F.greatest(start, end).alias("_e"), F.col(tie).alias("_t"), member.alias("_m"))
+    c = Chunks(each, keys, ["_s", "_e", "_t"], rows)
+    whole = Window.partitionBy(*c.group)
 
     # members of one streak share the number of strangers before them; starts ascend, so ends of earlier runs do not matter
-    streak = rows.withColumn("_k", F.sum(F.when(F.col("_m"), 0).otherwise(1)).over(upto))
-    sums = streak.groupBy(*group).agg(F.max("_k").alias("_strangers"), F.max(F.when(F.col("_m"), F.struct("_k", "_e"))).alias("_end"))
-    placed = sums.withColumn("_base", F.coalesce(F.sum("_strangers").over(earlier), F.lit(0)))
-    carried = placed.withColumn("_carry", F.max(F.when(F.col("_end").isNotNull(), F.struct((F.col("_base") + F.col("_end._k")).alias("_k"), F.col("_end._e").alias("_e")))).over(earlier))
-    known = streak.join(carried.select(*group, "_base", "_carry"), group).withColumn("_k", F.col("_k") + F.col("_base"))
-    reach = known.withColumn("_n", F.row_number().over(here)).withColumn("_far", F.greatest(F.max(F.when(F.col("_m"), F.struct("_k", "_e"))).over(before), "_carry"))
-    linked = F.coalesce((F.col("_far._k") == F.col("_k")) & (F.col("_s") - F.col("_far._e") - 1 <= max_gap), F.lit(False))
     ends = F.when(F.col("_m"), F.struct("_k", "_e"))
-    marked = reach.withColumn("_o", F.col("_m") & ~linked).withColumn("_end", F.max(ends).over(upto)).withColumn("_last", F.max(ends).over(whole)).withColumn("_all", F.count("*").over(whole))
-    edge = marked.withColumn("_was", F.lag("_m").over(here)).withColumn("_prev", F.lag("_end").over(here)).withColumn("_j", F.sum(F.col("_o").cast("int")).over(upto))
+    streak = c.df.withColumn("_k", F.sum(F.when(F.col("_m"), 0).otherwise(1)).over(c.upto))
+    # the streak that is open when a chunk begins: of the chunks since the last stranger, each of which leaves it open
+    summary = {"_strangers": F.max("_k"), "_end": F.max(ends)}
+    upto = c.order.rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy(*keys, "_total").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    left_open = F.when(F.col("_end._k") == F.col("_strangers"), F.col("_end._e"))
+    steps = [{"_total": F.sum("_strangers").over(upto), "_open": left_open}, {"_reach": F.max("_open").over(since)}]
+    known = c.carried(streak, summary, {"_far0": F.lag("_reach").over(c.order)}, steps)
+    reach = known.withColumn("_n", F.row_number().over(c.here)).withColumn("_far", F.max(ends).over(c.before)).withColumn("_stretch_end", F.max(ends).over(c.upto))
+    own = F.when(F.col("_far._k") == F.col("_k"), F.col("_far._e"))
+    far = F.when(F.col("_k") == 0, F.greatest(own, "_far0")).otherwise(own)
+    linked = F.coalesce(F.col("_s") - far - 1 <= max_gap, F.lit(False))
+    edge = reach.withColumn("_o", F.col("_m") & ~linked).withColumn("_was", F.lag("_m").over(c.here)).withColumn("_prev", F.lag("_stretch_end").over(c.here))
+    edge = edge.withColumn("_j", F.sum(F.col("_o").cast("int")).over(c.upto)).withColumn("_last", F.max(ends).over(whole)).withColumn("_all", F.count("*").over(whole))
     bounds = edge.where(F.col("_o") | (F.col("_m") & (F.col("_n") == 1)) | (~F.col("_m") & F.col("_was")))
-    parts = bounds.withColumn("_next", F.lead("_n").over(here)).withColumn("_to", F.lead("_prev").over(here)).where("_m")
-    parts = parts.select(*group, "_j", F.col("_s").alias("first_start"), F.coalesce("_to._e", "_last._e").alias("last_end"), (F.coalesce(F.col("_next"), F.col("_all") + 1) - F.col("_n")).alias("n"))
-    # a part without an opener goes on with the last run of the chunks before
-    opened = parts.groupBy(*group).agg(F.max("_j").alias("_opened"))
-    offset = opened.select(*group, F.coalesce(F.sum("_opened").over(earlier), F.lit(0)).alias("_offset"))
-    runs = parts.join(offset, group).groupBy(*keys, (F.col("_offset") + F.col("_j")).alias("_run")).agg(F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"), F.sum("n").alias("n"))
+    parts = bounds.withColumn("_next", F.lead("_n").over(c.here)).withColumn("_to", F.lead("_prev").over(c.here)).where("_m")
+    parts = parts.select(*c.group, "_j", F.col("_s").alias("first_start"), F.coalesce("_to._e", "_last._e").alias("last_end"), (F.coalesce(F.col("_next"), F.col("_all") + 1) - F.col("_n")).alias("n"))
+    # a part without an opener goes on with the last run that was opened in the chunks before
+    numbered = c.carried(parts, {"_opened": F.max("_j")}, {"_offset": F.sum("_opened").over(c.earlier)})
+    run = F.coalesce("_offset", F.lit(0)) + F.col("_j")
+    runs = numbered.groupBy(*keys, run.alias("_run")).agg(F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"), F.sum("n").alias("n"))
     return runs.where(F.col("n") >= least).select(*keys, "first_start", "last_end", F.col("n").cast("int").alias("n_records"))

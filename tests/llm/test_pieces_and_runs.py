@@ -73,17 +73,20 @@ def brute_runs(data):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_runs_with_heavy_groups(spark, seed):
+@pytest.mark.parametrize("seed, size", [(0, 10**6), (1, 300), (2, 25)])
+def test_runs_with_heavy_groups(spark, seed, size):
     r = random.Random(seed)
     data = []
     for i in range(2500):
         key = ("hot", "c") if r.random() < 0.5 else (f"s{r.randrange(9)}", r.choice(["c", "d", None]))
         s = r.randrange(1, 40_000)
         data.append((*key, s, s + r.choice([0, 3, 9, 30, 200, 900]), i, r.random() < 0.9))
+    # a long streak over whole chunks, under one block that reaches over all of it, and runs that open at one place
+    data += [("long", "c", 1, 90_000, 10_000, True), *[("long", "c", 50 + 40 * i, 60 + 40 * i, 10_001 + i, True) for i in range(120)]]
+    data += [("tie", "c", 5, 5, 20_000, True), ("tie", "c", 5, 6, 20_001, True), ("tie", "c", 5, 7, 20_002, False), ("tie", "c", 5, 8, 20_003, True), ("tie", "c", 6, 8, 20_004, True)]
     data.append(("hot", "c", None, 5, 9999, True))
     df = spark.createDataFrame(data, "a string, b string, start_pos int, end_pos int, vid int, m boolean").withColumn("_chunk", F.lit(1))
-    got = collapse_runs(df, ["a", "b"], "start_pos", "end_pos", "vid", F.col("m"), 10)
+    got = collapse_runs(df, ["a", "b"], "start_pos", "end_pos", "vid", F.col("m"), 10, rows=size)
     assert sorted(rows(got)) == brute_runs(data)
     assert collapse_runs(df.limit(0), ["a", "b"], "start_pos", "end_pos", "vid", F.col("m"), 10).count() == 0
 
