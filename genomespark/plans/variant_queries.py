@@ -41,8 +41,10 @@ def sam_prop_aligned(spark, sf_dir):
 
 
 # --- variants -----------------------------------------------------------------------------------------------------------
-_PLAIN = "regexp_full_match(alt_alleles, '(<[A-Z_]+>|[ACGTN]+)(,(<[A-Z_]+>|[ACGTN]+))*') AND regexp_full_match(split_part(genotype, ':', 1), '([0-9]+|\\.)([/|]([0-9]+|\\.))*') AND contig IS NOT NULL"
-_VARS = f"vars AS (SELECT variant_id, sample_name, contig, start_pos, end_pos, ref_allele, string_split(alt_alleles, ',') AS alts, genotype, list_transform(string_split(regexp_replace(split_part(genotype, ':', 1), '[|]', '/', 'g'), '/'), lambda x: CASE WHEN x = '.' THEN -1 ELSE CAST(x AS INTEGER) END) AS idx FROM simple_variant WHERE {_PLAIN})"
+_BODY = r"regexp_replace(trim(alt_alleles, e' \t\r\n'), '^\[(.*)\]$', '\1')"
+_FOUND = rf"""list_transform(regexp_extract_all({_BODY}, '"(?:[^"]|"")*"|<[^<>]*>|[^\s,;|/"<]+'), lambda x: CASE WHEN starts_with(x, '"') THEN trim(replace(substr(x, 2, length(x) - 2), '""', '"')) ELSE x END)"""
+_ALTS = f"CASE WHEN alt_alleles IS NULL OR trim(alt_alleles, e' \\t\\r\\n') IN ('', '.') THEN CAST([] AS VARCHAR[]) ELSE list_filter({_FOUND}, lambda x: x <> '') END"
+_VARS = f"vars AS (SELECT variant_id, sample_name, contig, start_pos, end_pos, ref_allele, {_ALTS} AS alts, genotype, list_transform(string_split(regexp_replace(split_part(genotype, ':', 1), '[|]', '/', 'g'), '/'), lambda x: CASE WHEN x = '.' THEN -1 ELSE TRY_CAST(x AS INTEGER) END) AS idx FROM simple_variant WHERE contig IS NOT NULL)"
 
 
 def _records(spark, sf_dir):
@@ -237,7 +239,7 @@ def gvcf_sequence(spark, sf_dir):
     return M.rebuilt(M.call_blocks(_aligned(spark, sf_dir), ["block"]), "block")
 
 
-@query(f"""WITH {_VARS}, r AS (SELECT variant_id, ref_allele AS ref, CASE WHEN starts_with(alts[1], '<') THEN '.' ELSE alts[1] END AS alt, len(list_filter(idx, lambda i: i < 0)) > 0 AS missing FROM vars)
+@query(f"""WITH {_VARS}, r AS (SELECT variant_id, ref_allele AS ref, CASE WHEN starts_with(alts[1], '<') THEN '.' ELSE coalesce(alts[1], '.') END AS alt, len(list_filter(idx, lambda i: i < 0)) > 0 AS missing FROM vars)
 SELECT variant_id, CASE WHEN alt = '.' OR alt = ref THEN ref || ',<NON_REF>' WHEN length(ref) - length(alt) > 3 THEN substr(ref, 1, 1) || ',<DEL>,<NON_REF>' ELSE ref || ',' || alt || ',<NON_REF>' END AS alleles,
 CASE WHEN missing THEN '.' WHEN alt = '.' OR alt = ref THEN '0' ELSE '1' END AS gt, CAST(CASE WHEN missing THEN 0 ELSE 30 END AS INTEGER) AS dp, CASE WHEN missing THEN '0,0' WHEN alt = '.' OR alt = ref THEN '30,0' ELSE '0,30,0' END AS ad, CASE WHEN alt = '.' OR alt = ref THEN '0,90,90' ELSE '90,90,0' END AS pl FROM r""")
 def vcf_rows(spark, sf_dir):
