@@ -65,13 +65,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packed(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     features, variants = table(spark, sf_dir, "gff_feature"), table(spark, sf_dir, "simple_variant")
     parts = [
-        explode_packed(features, "row_id", "attributes", "attributes", least=2).withColumn("field_name", F.lit("attributes")),
-        explode_packed(variants.select(F.col("variant_id").alias("row_id"), "alt_alleles"), "row_id", "alt_alleles", "alleles", least=2).withColumn("field_name", F.lit("alt_alleles")),
+        explode_packed(features, "row_id", "attributes", "attributes", least).withColumn("field_name", F.lit("attributes")),
+        explode_packed(variants.select(F.col("variant_id").alias("row_id"), "alt_alleles"), "row_id", "alt_alleles", "alleles", least).withColumn("field_name", F.lit("alt_alleles")),
     ]
-    return parts[0].unionByName(parts[1]).select("field_name", "row_id", "item_no", "item_tag", "item_value")
+    return parts[0].unionByName(parts[1])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, 2).select("field_name", "row_id", "item_no", "item_tag", "item_value")
+
+
+def p5_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value, those alone in their field too, with its place in the field and whether it is malformed."""
+    return _packed(spark, sf_dir, 1).select("field_name", "row_id", "item_no", "item_tag", "item_value", "item_start", "item_end", "malformed")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_targets": p4_targets,
     "p5_found": p5_found,
+    "p5_places": p5_places,
     "p7_found": p7_found,
 }

@@ -20,7 +20,7 @@ CASES = [
 
 @pytest.mark.parametrize("field, want", CASES)
 def test_attributes(field, want):
-    assert [(t, v) for t, v, _ in parse_attributes(field)] == want
+    assert [(t, v) for t, v, *_ in parse_attributes(field)] == want
 
 
 @pytest.mark.parametrize(
@@ -28,12 +28,12 @@ def test_attributes(field, want):
     [("A,T", "A T"), ("[A | <INS:ME>]", "A <INS:ME>"), ('"<INS:ME,L2>"/G', "<INS:ME,L2> G"), ('"A" "C";T', "A C T"), ("A,,T,", "A T"), ("G GT", "G GT"), (".", ""), (None, ""), ('"",A', "A"), ("<DEL>|C", "<DEL> C")],
 )
 def test_alleles(field, want):
-    assert " ".join(v for _, v, _ in parse_alleles(field)) == want
+    assert " ".join(v for _, v, *_ in parse_alleles(field)) == want
 
 
 def test_malformed_quotes_are_flagged():
-    assert parse_attributes('ID=a;Note="x;N=y') == [("ID", "a", False), ("Note", '"x', True), ("N", "y", False)]
-    assert parse_alleles('A,"C') == (("", "A", False), ("", '"C', True))
+    assert parse_attributes('ID=a;Note="x;N=y') == [("ID", "a", False, 3, 4), ("Note", '"x', True, 10, 12), ("N", "y", False, 15, 16)]
+    assert parse_alleles('A,"C') == (("", "A", False, 0, 1), ("", '"C', True, 2, 4))
 
 
 value = st.text(st.sampled_from('ab "=;|&,.'), min_size=1, max_size=6).map(str.strip).filter(lambda v: v and not set(v) <= {'"'})
@@ -43,7 +43,18 @@ value = st.text(st.sampled_from('ab "=;|&,.'), min_size=1, max_size=6).map(str.s
 @given(st.lists(st.tuples(st.sampled_from(["ID", "Note", "x"]), st.lists(value, min_size=1, max_size=3)), min_size=1, max_size=4), st.sampled_from([";", "; ", "|", "&", ";;"]))
 def test_round_trip_of_quoted_values(items, sep):
     field = sep.join(t + "=" + ",".join('"' + v.replace('"', '""') + '"' for v in vs) for t, vs in items)
-    assert parse_attributes(field) == [(t, v, False) for t, vs in items for v in vs]
+    found = parse_attributes(field)
+    assert [f[:3] for f in found] == [(t, v, False) for t, vs in items for v in vs]
+    assert [field[a:b] for *_, a, b in found] == ['"' + v.replace('"', '""') + '"' for _, vs in items for v in vs]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from('ab "=;|&,.[]<>\t'), max_size=20))
+def test_places_are_those_of_the_values(field):
+    for parse in (parse_attributes, parse_alleles):
+        found = parse(field)
+        assert all(field[a:b] == v or field[a:b].strip('"').replace('""', '"').strip() == v.strip('"') or '"' in v for _, v, _, a, b in found)
+        assert all(x[4] <= y[3] for x, y in zip(found, found[1:])) and all(a < b for *_, a, b in found)
 
 
 def test_rows(spark):
