@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genomespark.llm.leaks import shared_passages
+from genomespark.llm.leaks import proximity_matches, shared_passages
 from genomespark.llm.pieces import bisect_pieces, bisected_lengths, forward_pieces, latest_rows, measured_runs, pieces_of_lengths, split_records, unknown_runs
 from genomespark.llm.runs import collapse_runs, is_ref_block
 from genomespark.llm.sentences import sentence_units
@@ -60,6 +60,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_passages(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items of which 20 of some 25 consecutive words stand in the document at one offset."""
+    return proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -71,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_passages": p9_passages,
+    "p9_proximity": p9_proximity,
     "p10_found": p10_found,
 }
