@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from genomespark.operators.intervals import depth
 from genomespark.operators.ordered import Chunks
@@ -64,45 +66,54 @@ class Call:
 
 
 def call_variants(ref: str, alt: str, start0: int, asm_start0: int = 0, strand: str = "+", asm_size: int = 0, base_before: str = "") -> list[Call]:
-    """Walk the columns of one block: reference blocks, blocks of unknown letters, SNPs and left-anchored indels.
+    """Walk the stretches of columns of one block: reference blocks, blocks of unknown letters, SNPs and left-anchored indels.
 
     An indel takes the base before it as its anchor, which leaves the call that held it; a leading indel at position 1 is
     anchored on the base after it.  ``base_before`` is the reference base before the block.  Columns with gaps on both
-    sides are skipped.  On the minus strand assembly positions run backwards.
+    sides are skipped.  On the minus strand assembly positions run backwards.  Time is linear in the columns.
     """
-    columns = [(r, a) for r, a in zip(ref.upper(), alt.upper()) if not (r == "-" == a)]
+    r_all, a_all = (np.frombuffer(x.upper().encode("latin-1", "replace"), np.uint8) for x in (ref, alt))
+    n = min(len(r_all), len(a_all))
+    some = (r_all[:n] != _GAP) | (a_all[:n] != _GAP)
+    r_col, a_col = r_all[:n][some], a_all[:n][some]
+    r_text, a_text = (x.tobytes().decode("latin-1") for x in (r_col, a_col))
     step = -1 if strand == "-" else 1
     asm = asm_start0 + 1 if step > 0 else asm_size - asm_start0
-    at, out, i = start0 + 1, [], 0
+    at, out = start0 + 1, []
+    # stretches of columns of one kind: gaps, equal, unknown and different letters
+    kinds = np.where((r_col == _GAP) | (a_col == _GAP), 0, np.where(r_col == a_col, 1, np.where(a_col == ord("N"), 2, 3)))
+    edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)] if len(kinds) else []
 
     def push(kind: str, r: str, a: str, begin: int, asm_begin: int) -> None:
-        n = max(len(a.replace("-", "")), 1)
-        out.append(Call(begin, begin + len(r) - 1, r, a, kind, asm_begin, asm_begin + step * (n - 1)))
+        out.append(Call(begin, begin + len(r) - 1, r, a, kind, asm_begin, asm_begin + step * (max(len(a), 1) - 1)))
 
     def extend(kind: str, r: str, a: str, begin: int, asm_begin: int) -> None:
+        """A stretch of one kind; blocks go on with a block of their kind right before them, each variant is its own."""
         last = out[-1] if out else None
-        if last and last.kind == kind and last.end == begin - 1 and kind in ("ref", "missing"):
-            last.end, last.ref, last.alt, last.asm_end = begin, last.ref + r, last.alt + a, asm_begin
+        if kind == "variant":
+            for k in range(len(r)):
+                push(kind, r[k], a[k], begin + k, asm_begin + step * k)
+        elif last and last.kind == kind and last.end == begin - 1:
+            last.end, last.ref, last.alt, last.asm_end = begin + len(r) - 1, last.ref + r, last.alt + a, asm_begin + step * (len(a) - 1)
         else:
             push(kind, r, a, begin, asm_begin)
 
-    while i < len(columns):
-        r, a = columns[i]
-        if r != "-" and a != "-":
-            extend("ref" if r == a else "missing" if a == "N" else "variant", r, a, at, asm)
-            at, asm, i = at + 1, asm + step, i + 1
+    used = 0  # columns that an indel at the start of the sequence took for its anchor
+    for i, j in zip(edges, edges[1:]):
+        i = max(i, used)
+        if i == j:
             continue
-        refs, alts = "", ""
-        while i < len(columns) and "-" in columns[i]:
-            refs += columns[i][0].strip("-")
-            alts += columns[i][1].strip("-")
-            i += 1
+        if kinds[i]:
+            extend(_KINDS[kinds[i]], r_text[i:j], a_text[i:j], at, asm)
+            at, asm = at + j - i, asm + step * (j - i)
+            continue
+        refs, alts = r_text[i:j].replace("-", ""), a_text[i:j].replace("-", "")
         begin, asm_begin = at, asm
         at, asm = at + len(refs), asm + step * len(alts)
         if begin == 1 and not out:
-            if i < len(columns):
-                refs, alts = refs + columns[i][0], alts + columns[i][1]
-                at, asm, i = at + 1, asm + step, i + 1
+            if j < len(kinds):
+                refs, alts = refs + r_text[j], alts + a_text[j]
+                at, asm, used = at + 1, asm + step, j + 1
         else:
             if not out:
                 refs, alts, begin = base_before + refs, base_before + alts, begin - len(base_before)
@@ -128,31 +139,36 @@ def call_variants(ref: str, alt: str, start0: int, asm_start0: int = 0, strand:
     return out
 
 
+_GAP, _KINDS = ord("-"), ("gap", "ref", "missing", "variant")
 CALL_SCHEMA = "v_start int, v_end int, ref string, alt string, kind string, asm_start int, asm_end int"
 
 
-def call_blocks(blocks: DataFrame, keys: list[str], ref: str = "ref", qry: str = "qry", start0: str = "start0") -> DataFrame:
-    """The calls of every alignment block, a row each: keys and :data:`CALL_SCHEMA`."""
-    from pyspark.sql import types as T
+def call_blocks(blocks: DataFrame, keys: list[str], ref: str = "ref", qry: str = "qry", start0: str = "start0", assembly: tuple[str, str, str] | None = None, base_before: str | None = None) -> DataFrame:
+    """The calls of every alignment block, a row each: keys and :data:`CALL_SCHEMA`.
 
+    ``assembly`` names the columns of the query's 0-based start, its strand and the size of its sequence (none: from 0 on the
+    plus strand), ``base_before`` the column of the reference base before the block.  Blocks without a text give no row.
+    """
     schema = T.StructType([*[blocks.schema[k] for k in keys], *T._parse_datatype_string(CALL_SCHEMA).fields])
+    a0, strand, size = [F.col(c) for c in assembly] if assembly else [F.lit(0), F.lit("+"), F.lit(0)]
+    before = F.col(base_before) if base_before else F.lit("")
+    inputs = [F.col(ref), F.col(qry), F.col(start0).cast("long"), F.coalesce(a0.cast("long"), F.lit(0)), F.coalesce(strand, F.lit("+")), F.coalesce(size.cast("long"), F.lit(0)), F.coalesce(F.upper(before), F.lit(""))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         for batch in batches:
             rows, calls = [], []
-            texts = [batch.column(len(keys) + j).to_pylist() for j in range(3)]
-            for i, (r, q, s) in enumerate(zip(*texts)):
+            for i, (r, q, s, *more) in enumerate(zip(*[batch.column(len(keys) + j).to_pylist() for j in range(7)])):
                 if r is None or q is None or s is None:
                     continue
-                for c in call_variants(r, q, int(s)):
-                    rows.append(i)
-                    calls.append((c.start, c.end, c.ref, c.alt, c.kind, c.asm_start, c.asm_end))
+                found = [(c.start, c.end, c.ref, c.alt, c.kind, c.asm_start, c.asm_end) for c in call_variants(r, q, s, *more)]
+                rows += [i] * len(found)
+                calls += found
             columns = [batch.column(j).take(pa.array(rows, pa.int64())) for j in range(len(keys))]
             parts = list(zip(*calls)) if calls else [()] * 7
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(list(p), k) for p, k in zip(parts, kinds)]], names=[f.name for f in schema])
 
-    return blocks.select(*keys, ref, qry, start0).mapInArrow(work, schema)
+    return blocks.select(*keys, *[c.alias(f"_i{n}") for n, c in enumerate(inputs)]).mapInArrow(work, schema)
 
 
 def fill_gaps(calls: DataFrame, sizes: DataFrame, contig: str, start: str = "v_start", end: str = "v_end", rows: int = ROWS) -> DataFrame:
@@ -213,8 +229,6 @@ def assign_haplotypes(blocks: DataFrame, contig: str, start: str, end: str, key:
     Where no block reaches over a block's start, both haplotypes are free again: such stretches of blocks are dealt by
     themselves, by many tasks.  The blocks of a stretch stream through in order of start; only two open ends are held.
     """
-    from pyspark.sql import types as T
-
     from genomespark.operators.intervals import with_stretch
 
     schema = T.StructType([blocks.schema[contig], blocks.schema[key], T.StructField("haplotype", T.IntegerType())])
@@ -242,8 +256,6 @@ def assign_haplotypes(blocks: DataFrame, contig: str, start: str, end: str, key:
 
 def sub_block(ref: str, qry: str, start0: int, first: int, last: int) -> tuple[str, str, int]:
     """The columns of a block from reference position ``first`` to ``last`` (1-based), and their 0-based start."""
-    import numpy as np
-
     place = start0 + np.cumsum(np.frombuffer(ref.encode("latin-1", "replace"), np.uint8) != ord("-"))
     a, b = int(np.searchsorted(place, first)), int(np.searchsorted(place, last, "right"))
     while b > a and ref[b - 1] == "-":
@@ -258,8 +270,6 @@ def fill_haplotypes(blocks: DataFrame, contig: str = "contig", block: str = "blo
     ``blocks`` has contig, block, start0, ref, qry.  A block that overlaps both haplotypes (a third alignment) comes back
     whole under haplotype 0 and completes neither.  The positions to fill are an interval difference; each piece is then cut from its block by itself.
     """
-    from pyspark.sql import types as T
-
     from genomespark.operators.intervals import subtract
 
     end = F.col("start0") + F.length(F.replace(F.col("ref"), F.lit("-"), F.lit("")))
