@@ -40,6 +40,11 @@ def reindexed(alts: Column, genotype: Column) -> tuple[Column, Column]:
     return kept, F.when(sep == "|", F.array_join(parts, "|")).otherwise(F.array_join(parts, "/"))
 
 
+def used_alleles(indices: Column) -> Column:
+    """The alternative alleles that some of several lists of allele indices use, in order."""
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(indices), lambda i: i > 0)))
+
+
 def covering(positions: DataFrame, variants: DataFrame, contig: str, pos: str, start: str, end: str, width: int = 1024) -> DataFrame:
     """Each position with the records that cover it (binned equi-join; a record is put into each bin it touches)."""
     left = positions.withColumn("_b", F.floor(F.col(pos) / width))
@@ -86,7 +91,8 @@ def merged_calls(cover: DataFrame, keys: list[str]) -> DataFrame:
     ``cover`` has the keys (contig, pos), sample_name, start_pos, end_pos, ref_allele, alts and genotype, one row per
     sample.  The first known reference base by sample name is the site's; a sample with another one drops the site, and
     so does N.  A site needs one sample with a SNP.  Indels show as ``<INS>``, ``<DEL>`` or the base before a deletion;
-    reference blocks show the reference; all else is ``.``.
+    reference blocks show the reference; all else is ``.``.  Alternatives come in the order in which they appear by sample
+    name, symbolic ones last.
     """
     at = F.col("pos") - F.col("start_pos")
     base = F.when(at < F.length("ref_allele"), F.substring("ref_allele", at + 1, F.lit(1)))
@@ -105,6 +111,8 @@ def merged_calls(cover: DataFrame, keys: list[str]) -> DataFrame:
         return F.when(c["kind"] == "indel", indel).when(c["kind"] == "snp", c["g"]).when(c["kind"] == "ref", F.transform(c["g"], lambda _: F.col("ref"))).otherwise(F.transform(c["g"], lambda _: F.lit(".")))
 
     calls = good.withColumn("s", F.transform("l", lambda c: F.struct(c["sample_name"].alias("sample"), shown(c).alias("g"), c["phased"].alias("phased"))))
-    alts = F.array_sort(F.array_except(F.array_distinct(F.flatten(F.transform("s", lambda x: x["g"]))), F.array(F.col("ref"), F.lit("."))))
+    seen = F.array_except(F.array_distinct(F.flatten(F.transform("s", lambda x: x["g"]))), F.array(F.col("ref"), F.lit(".")))
+    symbolic = lambda a: F.startswith(a, F.lit("<"))
+    alts = F.concat(F.filter(seen, lambda a: ~symbolic(a)), F.filter(seen, symbolic))
     text = F.array_join(F.transform("s", lambda x: F.concat(x["sample"], F.lit("="), F.array_join(x["g"], "/"))), ";")
     return calls.select(*keys, "ref", F.array_join(alts, ",").alias("alts"), text.alias("genotypes"))

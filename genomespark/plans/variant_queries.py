@@ -116,8 +116,9 @@ kind AS (SELECT *, CASE WHEN NOT is_ref AND odd THEN 'indel' WHEN NOT is_ref AND
 site AS (SELECT contig, pos, arg_min(base, sample_name) FILTER (base IS NOT NULL) AS ref FROM kind GROUP BY contig, pos HAVING count(DISTINCT base) = 1 AND count(*) FILTER (kind = 'snp') > 0),
 calls AS (SELECT s.contig, s.pos, s.ref, sample_name, list_transform(g, lambda x: CASE WHEN kind = 'none' OR (kind = 'indel' AND x = '.') THEN '.' WHEN kind = 'ref' THEN s.ref WHEN kind = 'snp' THEN x
 WHEN x = '<INS>' OR (NOT starts_with(x, '<') AND length(x) > n) THEN '<INS>' WHEN x = '<DEL>' OR length(x) < n THEN CASE WHEN first_ AND substr(x, 1, 1) = s.ref THEN substr(x, 1, 1) ELSE '<DEL>' END WHEN length(x) = 1 THEN x ELSE '.' END) AS g FROM site s JOIN kind USING (contig, pos) WHERE s.ref <> 'N'),
-a AS (SELECT contig, pos, unnest(g) AS x, ref FROM calls)
-SELECT c.contig, c.pos, any_value(c.ref) AS ref, coalesce((SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM a WHERE a.contig = c.contig AND a.pos = c.pos AND x <> '.' AND x <> a.ref), '') AS alts, string_agg(sample_name || '=' || array_to_string(g, '/'), ';' ORDER BY sample_name) AS genotypes FROM calls c GROUP BY c.contig, c.pos""")
+a AS (SELECT contig, pos, sample_name, unnest(g) AS x, generate_subscripts(g, 1) AS i, ref FROM calls),
+f AS (SELECT contig, pos, x, min((sample_name, i)) AS first_ FROM a WHERE x <> '.' AND x <> ref GROUP BY contig, pos, x)
+SELECT c.contig, c.pos, any_value(c.ref) AS ref, coalesce((SELECT string_agg(x, ',' ORDER BY starts_with(x, '<'), first_) FROM f WHERE f.contig = c.contig AND f.pos = c.pos), '') AS alts, string_agg(sample_name || '=' || array_to_string(g, '/'), ';' ORDER BY sample_name) AS genotypes FROM calls c GROUP BY c.contig, c.pos""")
 def vcf_merge_calls(spark, sf_dir):
     """Merged SNP sites with every sample's alleles."""
     sites = _snps(spark, sf_dir).select("contig", F.col("start_pos").alias("pos")).distinct()
@@ -127,10 +128,10 @@ def vcf_merge_calls(spark, sf_dir):
     return V.merged_calls(one, ["contig", "pos"])
 
 
-@query("""WITH v AS (SELECT variant_id, contig, start_pos, lag(contig) OVER w AS c, lag(end_pos) OVER w AS e FROM simple_variant WHERE contig IS NOT NULL WINDOW w AS (PARTITION BY sample_name ORDER BY contig, start_pos, end_pos, variant_id)) SELECT variant_id, contig, start_pos FROM v WHERE c = contig AND start_pos <= e""")
+@query("""WITH v AS (SELECT variant_id, contig, start_pos, lag(contig) OVER w AS c, lag(end_pos) OVER w AS e FROM simple_variant WHERE contig IS NOT NULL WINDOW w AS (PARTITION BY sample_name ORDER BY made_at, variant_id)) SELECT variant_id, contig, start_pos FROM v WHERE c = contig AND start_pos <= e""")
 def vcf_validate_order(spark, sf_dir):
-    """Records of a sample that start at or before the end of the record before them."""
-    rows = table(spark, sf_dir, "simple_variant").where("contig IS NOT NULL").withColumn("place", F.struct("contig", "start_pos", "end_pos", "variant_id"))
+    """Records of a sample that start at or before the end of the record made before them on the same contig."""
+    rows = table(spark, sf_dir, "simple_variant").where("contig IS NOT NULL").withColumn("place", F.struct("made_at", "variant_id"))
     return V.out_of_order(rows, "sample_name", "place", "contig", "start_pos", "end_pos").select("variant_id", "contig", "start_pos")
 
 

@@ -41,6 +41,12 @@ def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
     return done, seen.get["n"]
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The table, counted, for a join: marked for broadcast if it has at most ``rows`` rows, else as it is."""
+    done, n = counted_cut(df)
+    return F.broadcast(done) if n <= rows else done
+
+
 def clean(text: Column | str) -> Column:
     """The text without surrounding white space; null where nothing is left."""
     text = F.col(text) if isinstance(text, str) else text

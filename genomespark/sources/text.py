@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genomespark.operators.rejects import FIELDS, reject_lines, valid_lines
+from genomespark.runtime import small_side
 
 # File suffixes of sequence formats.
 SUFFIXES = {"fasta": ("fa", "fasta", "fas", "fna", "ffn", "faa", "mpfa", "frn"), "fastq": ("fq", "fastq")}
@@ -38,13 +39,19 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     blocks = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    return raw.join(F.broadcast(blocks.withColumn("before", F.coalesce(before, F.lit(0)))), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "value")
+    return raw.join(small_side(blocks.withColumn("before", F.coalesce(before, F.lit(0)))), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "value")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(id, description, seq): the id is the first word after ``>``, the description the whole header with ``>``; lines
-    that start with ``;`` are comments; white space in bodies is dropped.  A record without a body has an empty sequence."""
-    raw = spark.read.option("lineSep", "\n>").text(path).withColumn("r", F.regexp_replace("value", r"\A(\s*;[^\n]*\n)*>?", ""))
+    that start with ``;`` are comments; white space in bodies is dropped.  A record without a body has an empty sequence.
+    Text before the first header is no record (see :func:`rejected_lines`, which names repeated ids too)."""
+    text = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    starts = text.where("block = 0").groupBy("file").agg(F.min("id").alias("first")).withColumnRenamed("file", "_file")
+    # only the first record of a file still has its sign
+    bare = F.regexp_replace("value", r"\A(\s*;[^\n]*\n|\s*\n)*", "")
+    placed = text.withColumn("r", bare).join(small_side(starts), (F.col("file") == F.col("_file")) & (F.col("id") == F.col("first")), "left")
+    raw = placed.where(F.col("first").isNull() | F.startswith("r", F.lit(">"))).withColumn("r", F.regexp_replace("r", r"\A>", ""))
     header = F.regexp_replace(F.regexp_extract("r", r"\A([^\n]*)", 1), r"\r\z", "")
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("r", r"\A[^\n]*\n?", ""), r"(?m)^;[^\n]*$", ""), r"\s", "")
     return raw.where(F.col("r").rlike(r"\S")).select(F.regexp_extract(header, r"\A\s*(\S+)", 1).alias("id"), F.concat(F.lit(">"), header).alias("description"), body.alias("seq"))
@@ -75,11 +82,12 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
     cells = spark.read.text(path).where(~F.startswith("value", F.lit("@"))).select(F.split("value", "\t").alias("c"), "value").where(F.size("c") >= 11)
     cell = lambda i: F.get("c", F.lit(i))
-    cigar, flag = cell(5), cell(1).cast("int")
+    cigar, flag = cell(5), cell(1).try_cast("int")
     sums = {n: reads.cigar_sum(cigar, op) for n, op in (("num_m", "M"), ("num_eq", "="), ("num_x", "X"), ("num_i", "I"), ("num_d", "D"), ("num_h", "H"), ("num_s", "S"))}
     span = sums["num_m"] + sums["num_eq"] + sums["num_x"] + sums["num_d"] + reads.cigar_sum(cigar, "N")
     nm = F.coalesce(F.regexp_extract("value", r"\tNM:i:(\d+)", 1).try_cast("int"), F.lit(0))
-    start = cell(3).cast("int")
+    start = cell(3).try_cast("int")
+    cells = cells.where(flag.isNotNull() & start.isNotNull() & cell(4).try_cast("int").isNotNull())
     return cells.select(cell(0).alias("query_name"), flag.alias("flag"), F.when(cell(9) == "*", 0).otherwise(F.length(cell(9))).alias("query_length"), reads.strand(flag).alias("strand"), cell(2).alias("target_name"), start.alias("target_start"), F.when(start > 0, start + span - 1).otherwise(0).alias("target_end"), cell(4).cast("int").alias("map_q"), nm.alias("nm"), *[c.alias(n) for n, c in sums.items()], cell(9).alias("read_seq"))
 
 
@@ -99,7 +107,8 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(~F.startswith("value", F.lit("#")))
     cells = raw.select("file", F.split("value", "\t").alias("c")).where(F.size("c") >= 8)
     cell = lambda i: F.get("c", F.lit(i))
-    start = cell(1).cast("int")
+    start = cell(1).try_cast("int")
+    cells = cells.where(start.isNotNull())
     end = F.coalesce(F.regexp_extract(cell(7), r"(?:^|;)END=(\d+)", 1).try_cast("int"), start + F.length(cell(3)) - 1)
     return cells.select("file", cell(0).alias("contig"), start.alias("start_pos"), end.alias("end_pos"), cell(2).alias("id"), cell(3).alias("ref_allele"), F.split(cell(4), ",").alias("alts"), cell(5).alias("qual"), cell(6).alias("filter"), cell(7).alias("info"), F.slice("c", 10, F.greatest(F.size("c") - 9, F.lit(0))).alias("samples"))
 
@@ -113,11 +122,68 @@ def read_alt_headers(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(bare("ID").alias("id"), bare("Description").alias("description"), bare("Source").alias("source"), bare("SampleName").alias("sample"), bare("Checksum").alias("checksum"), bare("RefRange").alias("ref_range"), bare("RefChecksum").alias("ref_checksum"), F.transform(F.split(bare("Regions"), ","), region).alias("regions"))
 
 
+def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
+    """(file, samples): the names of each file's sample columns, from its header line."""
+    head = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.startswith("value", F.lit("#CHROM")))
+    return head.select("file", F.split(F.regexp_replace("value", r"\r\z", ""), "\t").alias("c")).select("file", F.slice("c", 10, F.greatest(F.size("c") - 9, F.lit(0))).alias("samples"))
+
+
+def read_vcf_calls(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sample_name, contig, start_pos, end_pos, ref_allele, alts, genotype): a row for each sample of each record.
+
+    Alternatives are those that some genotype of the record uses, and the genotypes count over them; an alternative ``N``
+    becomes ``.`` and ``*`` becomes ``<DEL>``.  A record whose columns are not nine and one for each sample is no record: it
+    comes out of :func:`rejected_lines`.
+    """
+    from genomespark.operators.variants import genotype_indices, used_alleles
+
+    names = vcf_samples(spark, path).withColumnRenamed("samples", "names")
+    rows = read_vcf(spark, path).join(names, "file").where(F.size("samples") == F.size("names"))
+    plain = F.transform("alts", lambda a: F.when(a == "N", ".").when(a == "*", "<DEL>").otherwise(a))
+    rows = rows.withColumn("_used", used_alleles(F.transform("samples", genotype_indices))).withColumn("_alts", F.filter(plain, lambda a: a != "."))
+    each = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("names") - 1)))
+    text = F.substring_index(F.get("samples", F.col("_at")), ":", 1)
+    new = F.transform(genotype_indices(text), lambda i: F.when(i < 0, ".").when(i == 0, "0").otherwise(F.array_position("_used", i).cast("string")))
+    genotype = F.when(F.contains(text, F.lit("|")), F.array_join(new, "|")).otherwise(F.array_join(new, "/"))
+    alts = F.transform("_used", lambda i: F.coalesce(F.get(plain, i - 1), F.lit(".")))
+    return each.select("file", F.get("names", F.col("_at")).alias("sample_name"), "contig", "start_pos", "end_pos", "ref_allele", alts.alias("alts"), genotype.alias("genotype"))
+
+
+def rejected_lines(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """(file, line_no, line_text, reason) of the lines that the reader of ``sam``, ``vcf``, ``bed`` or ``fasta`` leaves out.
+
+    ``columns``: fewer columns than the format has (in ``vcf`` also not nine and one for each sample, where the header names
+    samples); ``position``: no whole number where the format has a position; ``header``: FASTA text before the first
+    header; ``duplicate``: a FASTA header whose id came before.
+    """
+    lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+    out = lambda df: df.where("reason IS NOT NULL").select("file", "line_no", F.col("value").alias("line_text"), "reason")
+    if fmt == "fasta":
+        heads = lines.where(F.startswith("value", F.lit(">")))
+        first = heads.groupBy("file").agg(F.min("line_no").alias("_first"))
+        body = lines.where(F.col("value").rlike(r"^[^>;\s]|^\s+[^;\s]")).join(first, "file", "left")
+        early = body.withColumn("reason", F.when(F.col("_first").isNull() | (F.col("line_no") < F.col("_first")), "header"))
+        name = F.regexp_extract("value", r"\A>\s*(\S+)", 1)
+        again = heads.withColumn("_id", name).withColumn("_no", F.row_number().over(Window.partitionBy("_id").orderBy("file", "line_no"))).withColumn("reason", F.when(F.col("_no") > 1, "duplicate"))
+        return out(early).unionByName(out(again))
+    least, places, skip = {"sam": (11, (1, 3, 4), "^@"), "vcf": (8, (1,), "^#"), "bed": (3, (1, 2), r"^(#|track|browser|\s*$)")}[fmt]
+    cells = lines.where(~F.col("value").rlike(skip)).withColumn("c", F.split("value", "\t"))
+    wrong = F.size("c") < least
+    if fmt == "vcf":
+        cells = cells.join(vcf_samples(spark, path), "file", "left")
+        wrong = wrong | ((F.size("samples") > 0) & (F.size("c") != F.size("samples") + 9))
+    no_number = F.lit(False)
+    for i in places:
+        no_number = no_number | ~F.coalesce(F.get("c", F.lit(i)).rlike(r"\A[0-9]{1,10}\z"), F.lit(False))
+    return out(cells.withColumn("reason", F.when(wrong, "columns").when(no_number, "position")))
+
+
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, start_pos, end_pos, name, score): 0-based half-open rows as 1-based closed ranges."""
     cells = spark.read.text(path).where(~F.col("value").rlike(r"^(#|track|browser|\s*$)")).select(F.split("value", "\t").alias("c"))
     cell = lambda i: F.get("c", F.lit(i))
-    return cells.where(F.size("c") >= 3).select(cell(0).alias("chrom"), (cell(1).cast("int") + 1).alias("start_pos"), cell(2).cast("int").alias("end_pos"), cell(3).alias("name"), cell(4).try_cast("double").alias("score"))
+    sound = cells.where((F.size("c") >= 3) & cell(1).try_cast("int").isNotNull() & cell(2).try_cast("int").isNotNull())
+    return sound.select(cell(0).alias("chrom"), (cell(1).cast("int") + 1).alias("start_pos"), cell(2).cast("int").alias("end_pos"), cell(3).alias("name"), cell(4).try_cast("double").alias("score"))
 
 
 def read_kmers(spark: SparkSession, path: str) -> DataFrame:
@@ -167,9 +233,14 @@ def write_gff(df: DataFrame, path: str, compression: str | None = None, mode: st
 
 
 def write_vcf(df: DataFrame, path: str, samples: list[str], headers: list[str] | None = None, compression: str | None = None, mode: str = "errorifexists") -> None:
-    """Records as VCF text, sorted; every part of the output begins with the header lines."""
+    """Records as VCF text, sorted; every part of the output begins with the header lines.
+
+    Columns ``info`` and ``format`` are written where there are any, else the end of the record and ``GT``.
+    """
     head = "\n".join([*(headers or ["##fileformat=VCFv4.2"]), "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])])
-    line = F.concat_ws("\t", "contig", F.col("start_pos").cast("string"), F.lit("."), "ref_allele", F.array_join("alts", ","), F.lit("."), F.lit("."), F.concat(F.lit("END="), F.col("end_pos").cast("string")), F.lit("GT"), F.concat_ws("\t", "genotypes"))
+    info = F.col("info") if "info" in df.columns else F.concat(F.lit("END="), F.col("end_pos").cast("string"))
+    fmt = F.col("format") if "format" in df.columns else F.lit("GT")
+    line = F.concat_ws("\t", "contig", F.col("start_pos").cast("string"), F.lit("."), "ref_allele", F.array_join("alts", ","), F.lit("."), F.lit("."), info, fmt, F.array_join("genotypes", "\t"))
     body = df.repartitionByRange("contig", "start_pos").sortWithinPartitions("contig", "start_pos").select(line.alias("value"), F.monotonically_increasing_id().alias("i"))
     first = F.pmod("i", F.lit(1 << 33)) == 0
     _write(F.when(first, F.concat(F.lit(head + "\n"), F.col("value"))).otherwise(F.col("value")), body, path, compression, mode)
