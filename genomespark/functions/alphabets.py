@@ -100,6 +100,14 @@ def codon_tables(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(codon_rows(), "table_id int, codon string, aa string, is_start boolean, is_stop boolean")
 
 
+def codon_grid(table: int = 1) -> str:
+    """A table as text: four rows of blocks by first base, columns by second, lines by third; stops named, starts marked."""
+    aa, begin = codon_map(table), set(starts(table))
+    cell = lambda c: f"{c} {'Stop' if aa.get(c) == '*' else aa.get(c, '-') + ('(s)' if c in begin else '')}"
+    blocks = ["\n".join(" | ".join(f"{cell(x + y + z):<8}" for y in "TCAG").rstrip() for z in "TCAG") for x in "TCAG"]
+    return "\n\n".join(blocks)
+
+
 def literal_map(values: dict) -> Column:
     """A map literal of a small dictionary."""
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])

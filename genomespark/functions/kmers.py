@@ -21,12 +21,23 @@ def from_digits(d: Column) -> Column:
 
 
 def encode(kmer: Column) -> Column:
-    """The 2-bit code of a k-mer of at most 31 letters."""
-    return F.conv(digits(kmer), 4, 10).cast("long")
+    """The 2-bit code of a k-mer of at most 32 letters; with 32 the code is negative where the first letter is T or G."""
+    d = digits(kmer)
+    part = lambda x: F.conv(x, 4, 10).cast("long")
+    low = part(F.right(d, F.lit(16)))
+    high = F.when(F.length(d) > 16, part(F.substring(d, F.lit(1), F.length(d) - 16))).otherwise(F.lit(0).cast("long"))
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def unsigned_order(code: Column) -> Column:
+    """A sort key under which codes of 32 letters order as unsigned numbers."""
+    return code.bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def decode(code: Column, k: int) -> Column:
-    return from_digits(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"))
+    half = lambda x: F.lpad(F.conv(x.cast("string"), 10, 4), 16, "0")
+    both = F.concat(half(F.shiftrightunsigned(code, 32)), half(code.bitwiseAND(F.lit((1 << 32) - 1))))
+    return from_digits(F.right(both, F.lit(k)))
 
 
 def canonical(kmer: Column) -> Column:

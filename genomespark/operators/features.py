@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genomespark.operators.hierarchy import subtree
@@ -96,3 +96,84 @@ def resolve_parents(parents: Column, which: str = "left", prefer: Column | None
     """One parent of several: the first, the last, or ``prefer`` where it is not null (with ``which`` as fallback)."""
     end = F.element_at(F.when(F.size(parents) > 0, parents), -1 if which == "right" else 1)
     return end if prefer is None else F.coalesce(prefer, end)
+
+
+# Names of strands and phases in feature text.
+STRANDS = {"+": "PLUS", "-": "MINUS", ".": "NOSTRAND", "?": "UNKNOWN"}
+PHASES = {"0": "ZERO", "1": "ONE", "2": "TWO", ".": "UNSPECIFIED"}
+
+
+def _decoded(c: Column, names: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c)
+
+
+def strand_name(c: Column) -> Column:
+    """The strand's name; null for other signs."""
+    return _decoded(c, STRANDS)
+
+
+def phase_name(c: Column) -> Column:
+    """The phase's name, of text or a number; null for others."""
+    return _decoded(c.cast("string"), PHASES)
+
+
+def column_names(tables: dict[str, DataFrame], feature_type: str) -> str:
+    """The columns of the table of a type as a comma list; empty for a type without one."""
+    return ",".join(tables[feature_type].columns) if feature_type in tables else ""
+
+
+# The columns of a feature row.
+FEATURE_SCHEMA = "feature_id string, seqid string, feature_source string, feature_type string, start_pos int, end_pos int, score double, strand string, phase string, parents array<string>, attributes map<string,array<string>>"
+
+
+def empty_genome(spark) -> DataFrame:
+    """A table of features without a row."""
+    return spark.createDataFrame([], FEATURE_SCHEMA)
+
+
+def set_fields(df: DataFrame, chosen: Column, **values: Column | str | int | float | None) -> DataFrame:
+    """Features with fields of the chosen rows set; what would break a feature raises when the rows are read.
+
+    A start above the end or below 1, a CDS without a phase, another type with one that is no phase, and an unknown strand
+    break a feature.
+    """
+    out = df
+    for name, value in values.items():
+        new = value if isinstance(value, Column) else F.lit(value)
+        out = out.withColumn(name, F.when(chosen, new).otherwise(F.col(name)).cast(df.schema[name].dataType))
+    wrong = (
+        F.when((F.col("start_pos") > F.col("end_pos")) | (F.col("start_pos") < 1), "range")
+        .when((F.col("feature_type") == "CDS") & ~F.coalesce(F.col("phase").isin("0", "1", "2"), F.lit(False)), "phase of a CDS")
+        .when(F.coalesce(~F.col("phase").isin(*PHASES), F.lit(False)), "phase")
+        .when(F.coalesce(~F.col("strand").isin(*STRANDS), F.lit(False)), "strand")
+    )
+    stop = F.raise_error(F.concat(F.lit("feature "), F.coalesce("feature_id", F.lit("?")), F.lit(": "), wrong)).cast("string")
+    return out.withColumn("feature_id", F.when(chosen & wrong.isNotNull(), stop).otherwise(F.col("feature_id")))
+
+
+def add_discontinuity(df: DataFrame, feature_id: str, start_pos: int, end_pos: int, phase: str | None = None) -> DataFrame:
+    """Features with one more part of the feature with this id: a row like its first one, with another place."""
+    first = df.where(F.col("feature_id") == feature_id).orderBy("start_pos", "end_pos").limit(1)
+    part = first.withColumn("start_pos", F.lit(start_pos)).withColumn("end_pos", F.lit(end_pos))
+    part = part.withColumn("phase", F.lit(phase)) if phase is not None else part
+    return df.unionByName(set_fields(part, F.lit(True)))
+
+
+def remove_discontinuity(df: DataFrame, feature_id: str, start_pos: int, end_pos: int) -> DataFrame:
+    """Features without one part of a feature."""
+    return df.where(~((F.col("feature_id") == feature_id) & (F.col("start_pos") == start_pos) & (F.col("end_pos") == end_pos)) | F.col("feature_id").isNull())
+
+
+def ordered_children(edges: DataFrame, order: list[Column]) -> DataFrame:
+    """Links (node, parent, ...) with ``place``, that of the child among its parent's children (from 1)."""
+    return edges.withColumn("place", F.row_number().over(Window.partitionBy("parent").orderBy(*order, "node")))
+
+
+def descendants_of_type(pairs: DataFrame, types: DataFrame, feature_type: str | None = None) -> DataFrame:
+    """Pairs (ancestor, node, dist) whose node is of a type; ``types`` is (node, feature_type), distinct."""
+    return pairs if feature_type is None else pairs.join(types.where(F.col("feature_type") == feature_type).select("node").distinct(), "node", "left_semi").select(*pairs.columns)
+
+
+def depth_first(paths: DataFrame) -> DataFrame:
+    """Rows with ``path`` (names from the root down) in the order of a walk that takes each subtree before the next."""
+    return paths.orderBy("path")

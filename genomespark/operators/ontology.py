@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from genomespark.operators.hierarchy import closure
 from genomespark.runtime import cut
 
-#: A small ontology of feature types, in the public stanza format.
+# Some types of the public sequence ontology, in its stanza format.
 MINI = """
 [Term]
 id: SO:0000110
@@ -122,6 +122,17 @@ def tables(spark: SparkSession, text: str = MINI) -> dict[str, DataFrame]:
     }
 
 
+def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The ontology of a file in stanza format; type ontologies are a few megabytes, and are read on the driver."""
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    return tables(spark, text)
+
+
+def contains(onto: dict[str, DataFrame], name: str) -> bool:
+    """Whether a type has this id, name or exact synonym."""
+    return not onto["synonyms"].where(F.col("exact") & (F.col("name") == name)).isEmpty()
+
+
 def is_a(onto: dict[str, DataFrame]) -> DataFrame:
     """(node, ancestor, dist): all super-types, the type itself with 0."""
     return closure(onto["types"].select(F.col("id").alias("node")), onto["is_a"])

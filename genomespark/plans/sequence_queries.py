@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from genomespark.functions import alphabets as A
 from genomespark.functions import kmers as K
 from genomespark.functions import sequences as S
+from genomespark.operators import msa as P
 from genomespark.plans.views import DNA, MSA, PROTEIN, Book, dna, msa, protein
-from genomespark.runtime import table
+from genomespark.runtime import cut, table
 
 BOOK = Book()
 query = BOOK.query
@@ -110,15 +111,13 @@ def msa_shape(spark, sf_dir):
 @query(f"WITH {MSA} SELECT aln_id, sample_idx, substr(seq, 1, 1) || substr(seq, 6, 1) || substr(seq, 40, 1) AS sites, substr(seq, 4, 12) AS span FROM msa")
 def msa_sites(spark, sf_dir):
     """Sites 0, 5 and the last, and sites 3 to 14, of every sample."""
-    pick = F.concat(*[F.substring("seq", i, 1) for i in (1, 6, 40)])
-    return msa(spark, sf_dir).select("aln_id", "sample_idx", pick.alias("sites"), S.slice_(F.col("seq"), 3, 14).alias("span"))
+    return msa(spark, sf_dir).select("aln_id", "sample_idx", P.sites(F.col("seq"), [5, -1, 0, 5]).alias("sites"), P.sites(F.col("seq"), range(3, 15)).alias("span"))
 
 
 @query(f"WITH {MSA}, n AS (SELECT aln_id, max(sample_idx) AS m FROM msa GROUP BY aln_id) SELECT aln_id, sample_idx, seq FROM msa JOIN n USING (aln_id) WHERE sample_idx IN (0, 2) OR sample_idx = m")
 def msa_samples(spark, sf_dir):
     """Samples 0, 2 and the last (negative index) of every alignment."""
-    rows = msa(spark, sf_dir)
-    return rows.withColumn("m", F.max("sample_idx").over(Window.partitionBy("aln_id"))).where("sample_idx IN (0, 2) OR sample_idx = m").select("aln_id", "sample_idx", "seq")
+    return P.samples(msa(spark, sf_dir), "aln_id", "sample_idx", [2, 0, -1]).select("aln_id", "sample_idx", "seq")
 
 
 @query(f"""WITH {MSA}, c AS (SELECT aln_id, i AS site, substr(seq, CAST(i + 1 AS INTEGER), 1) AS base FROM msa, range(0, 40) t(i))
@@ -284,19 +283,48 @@ def kmer_hamming_counts(spark, sf_dir):
     return hamming_counts(side(True), side(False), 9)
 
 
-@query(f"""WITH {DNA}, {_kmers(6)}, g AS (SELECT substr(record_id, length(record_id)) AS grp, kmer, count(*) AS n FROM kmers GROUP BY ALL), len_ AS (SELECT substr(record_id, length(record_id)) AS grp, sum(length(seq)) AS len FROM dna GROUP BY 1)
-SELECT x.grp AS id_a, y.grp AS id_b, CAST(2 * count(*) FILTER (x.n <> y.n) AS DOUBLE) / ((any_value(lx.len) + any_value(ly.len)) / 2) AS copy_count, CAST(sum(abs(x.n - y.n)) AS DOUBLE) / ((any_value(lx.len) + any_value(ly.len)) / 2) AS copy_difference
-FROM g x JOIN g y ON x.kmer = y.kmer AND x.grp < y.grp JOIN len_ lx ON lx.grp = x.grp JOIN len_ ly ON ly.grp = y.grp GROUP BY x.grp, y.grp""")
+@query(f"""WITH {DNA}, {_kmers(6)}, g AS (SELECT substr(record_id, length(record_id)) AS grp, kmer, count(*) AS n FROM kmers GROUP BY ALL), len_ AS (SELECT substr(record_id, length(record_id)) AS grp, sum(length(seq)) AS len FROM dna GROUP BY 1),
+keys AS (SELECT grp, kmer, unnest(list_transform(range(1, 7), lambda i: i || ':' || substr(kmer, 1, CAST(i - 1 AS INTEGER)) || '.' || substr(kmer, CAST(i + 1 AS INTEGER)))) AS key FROM g),
+near AS (SELECT DISTINCT x.grp AS a, x.kmer, y.grp AS b FROM keys x JOIN keys y USING (key) WHERE x.grp <> y.grp),
+ids AS (SELECT DISTINCT grp FROM g), p AS (SELECT x.grp AS a, y.grp AS b FROM ids x, ids y WHERE x.grp <> y.grp),
+way AS (SELECT p.a, p.b, count(*) FILTER (t.kmer IS NULL AND near.kmer IS NOT NULL) AS h1, count(*) FILTER (t.kmer IS NULL AND near.kmer IS NULL) AS h_many, count(*) FILTER (g.n <> t.n) AS differ, coalesce(sum(abs(g.n - t.n)), 0) AS dist
+  FROM p JOIN g ON g.grp = p.a LEFT JOIN g t ON t.grp = p.b AND t.kmer = g.kmer LEFT JOIN near ON near.a = p.a AND near.b = p.b AND near.kmer = g.kmer GROUP BY p.a, p.b)
+SELECT x.a AS id_a, x.b AS id_b, CAST(x.h1 + y.h1 AS DOUBLE) / ((la.len + lb.len) / 2) AS h1, CAST(x.h_many + y.h_many AS DOUBLE) / ((la.len + lb.len) / 2) AS h_many, CAST(x.differ + y.differ AS DOUBLE) / ((la.len + lb.len) / 2) AS copy_count, CAST(x.dist AS DOUBLE) / ((la.len + lb.len) / 2) AS copy_difference
+FROM way x JOIN way y ON x.a = y.b AND x.b = y.a JOIN len_ la ON la.grp = x.a JOIN len_ lb ON lb.grp = x.b""")
 def kmer_distance_matrix(spark, sf_dir):
-    """Copy-number distances between ten groups of records, by mean length."""
-    base = dna(spark, sf_dir).select(F.right("record_id", F.lit(1)).alias("grp"), "seq")
-    sizes = base.groupBy("grp").agg(F.sum(F.length("seq")).alias("len"))
-    rows = K.windows(base, "seq", 6).groupBy("grp", "kmer").agg(F.count("*").alias("n"))
-    x, y = rows.toDF("id_a", "kmer", "n"), rows.toDF("id_b", "kmer", "m")
-    pairs = x.join(y, "kmer").where("id_a < id_b").groupBy("id_a", "id_b").agg((F.count_if(F.col("n") != F.col("m")) * 2).cast("double").alias("c"), F.sum(F.abs(F.col("n") - F.col("m"))).cast("double").alias("d"))
-    whole = pairs.join(F.broadcast(sizes.toDF("id_a", "len_a")), "id_a").join(F.broadcast(sizes.toDF("id_b", "len_b")), "id_b")
+    """The four distance matrices of ten groups of records, by mean length, both halves."""
+    base = dna(spark, sf_dir).select(F.right("record_id", F.lit(1)).alias("id"), "seq")
+    return distance_matrices(base, "id", "seq", 6)
+
+
+def distance_matrices(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """(id_a, id_b, h1, h_many, copy_count, copy_difference) of every ordered pair of different ids: the four numbers of
+    :func:`hamming_counts` over the mean length of the two.
+
+    The result has a row for each pair, so the ids are few enough for a matrix.  No k-mers are compared in pairs: those of
+    a k-mer and of its neighbours (which agree once a letter is blanked) are two lists of ids, and sums over these give all
+    cells; what is far follows from the numbers of k-mers.  Ids without a k-mer are left out.
+    """
+    rows = K.windows(df.select(F.col(key).alias("_id"), seq), seq, k).groupBy("_id", "kmer").agg(F.count("*").alias("n"))
+    has = cut(rows.groupBy("kmer").agg(F.collect_list(F.struct(F.col("_id").alias("id"), "n")).alias("has")))
+    keys = has.select("kmer", F.transform("has", lambda h: h["id"]).alias("ids"), F.explode(K.blanked(K.encode(F.col("kmer")), k)).alias("blank"))
+    around = keys.groupBy("blank").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    near = keys.select("kmer", "blank").join(around, "blank").groupBy("kmer").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("near"))
+    each = has.join(near, "kmer").select("near", "has", F.map_from_entries("has").alias("m"), F.explode("has").alias("a"))
+    pair = each.select(F.col("a.id").alias("id_a"), F.explode("near").alias("id_b"), F.col("a.n").alias("n"), "m").where("id_a <> id_b")
+    other = F.element_at("m", F.col("id_b"))
+    one = pair.groupBy("id_a", "id_b").agg(F.count_if(other.isNull()).alias("h1"), F.count_if(other.isNotNull()).alias("same"), F.count_if(other != F.col("n")).alias("differ"), F.coalesce(F.sum(F.abs(F.col("n") - other)), F.lit(0)).alias("dist"))
+    sizes = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.sum(F.length(seq)).alias("len"))
+    kinds = cut(rows.groupBy(F.col("_id").alias("id")).agg(F.count("*").alias("kinds")).join(sizes, "id"))
+    # every pair, from one row that lists the ids
+    listed = kinds.agg(F.collect_set("id").alias("ids")).select(F.explode("ids").alias("id_a"), "ids").select("id_a", F.explode("ids").alias("id_b")).where("id_a <> id_b")
+    way = cut(listed.join(one, ["id_a", "id_b"], "left").na.fill(0))
+    back = way.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), F.col("h1").alias("h1b"))
+    whole = way.join(back, ["id_a", "id_b"]).join(kinds.toDF("id_a", "kinds_a", "len_a"), "id_a").join(kinds.toDF("id_b", "kinds_b", "len_b"), "id_b")
     mean = (F.col("len_a") + F.col("len_b")) / 2
-    return whole.select("id_a", "id_b", (F.col("c") / mean).alias("copy_count"), (F.col("d") / mean).alias("copy_difference"))
+    h1 = F.col("h1") + F.col("h1b")
+    cells = {"h1": h1, "h_many": F.col("kinds_a") + F.col("kinds_b") - 2 * F.col("same") - h1, "copy_count": 2 * F.col("differ"), "copy_difference": F.col("dist")}
+    return whole.select("id_a", "id_b", *[(c.cast("double") / mean).alias(n) for n, c in cells.items()])
 
 
 @query()
