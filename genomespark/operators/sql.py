@@ -75,4 +75,8 @@ why AS (SELECT line_key, CASE WHEN quotes % 2 = 1 THEN 'quoting' WHEN len(c) <>
 """
 P2_FOUND = _P2 + "SELECT line_key, reason FROM why WHERE reason IS NOT NULL"
 
-SQL = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_paths": P3_PATHS, "p3_descendants": P3_DESCENDANTS, "p4_found": P4_FOUND, "p4_targets": P4_TARGETS, "p7_found": P7_FOUND}
+_RAW = "translate(c[{i}], chr(1) || chr(2) || chr(3) || chr(4), chr(9) || ';=,')"
+P2_VALID = _P2 + f"""SELECT w.line_key, l.file_name, l.line_number, {", ".join(f"{_RAW.format(i=i)} AS {n}" for i, n in ((1, "seqid"), (2, "feature_source"), (3, "feature_type"), (7, "strand"), (8, "phase"), (9, "attributes")))},
+  s AS start_pos, e AS end_pos, CASE WHEN c[6] <> '.' THEN TRY_CAST(c[6] AS DOUBLE) END AS score FROM why w JOIN gff_line l USING (line_key) WHERE reason IS NULL"""
+
+SQL = {"p2_valid": P2_VALID, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_paths": P3_PATHS, "p3_descendants": P3_DESCENDANTS, "p4_found": P4_FOUND, "p4_targets": P4_TARGETS, "p7_found": P7_FOUND}

@@ -247,20 +247,18 @@ def hamming_counts(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """One row (h1, h_many, copy_count, copy_difference) for two tables (kmer, n).
 
     The distance of a k-mer to the other set is capped at 2.  Codes that differ in one letter agree once that letter is
-    blanked, so ``k`` keys a k-mer and a semi-join find distance 1 without comparing pairs.
+    blanked: each k-mer goes to ``k`` groups of at most four, and one of a single set is at distance 1 if some group of it
+    holds a k-mer of the other.  Both directions are one pass, and no pairs are made.
     """
-    one = _nearest(a, b, k).unionByName(_nearest(b, a, k))
-    shared = a.join(b.withColumnRenamed("n", "m"), "kmer")
-    far = one.agg(F.count_if(F.col("d") == 1).alias("h1"), F.count_if(F.col("d") == 2).alias("h_many"))
-    copies = shared.agg((F.count_if(F.col("n") != F.col("m")) * 2).alias("copy_count"), F.coalesce(F.sum(F.abs(F.col("n") - F.col("m"))), F.lit(0)).alias("copy_difference"))
-    return far.join(F.broadcast(copies), F.lit(True))
-
-
-def _nearest(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    alone = a.join(b, "kmer", "left_anti").select("kmer")
-    keys = lambda df: df.select("kmer", F.explode(K.blanked(K.encode(F.col("kmer")), k)).alias("key"))
-    near = keys(alone).join(keys(b).select("key"), "key", "left_semi").select("kmer").distinct().withColumn("d", F.lit(1))
-    return alone.join(near, "kmer", "left").select("kmer", F.coalesce("d", F.lit(2)).alias("d"))
+    sides = a.select("kmer", "n", F.lit(0).cast("long").alias("m")).unionByName(b.select("kmer", F.lit(0).cast("long").alias("n"), F.col("n").alias("m")))
+    each = cut(sides.groupBy(K.encode(F.col("kmer")).alias("code")).agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    side = F.when(F.col("m") == 0, 1).when(F.col("n") == 0, 2).otherwise(3)
+    keys = each.select("code", side.alias("side"), F.explode(K.blanked(F.col("code"), k)).alias("key"))
+    groups = keys.groupBy("key").agg(F.collect_list(F.struct("code", "side")).alias("l"), F.bit_or("side").alias("sides")).where("sides = 3")
+    near = groups.select(F.explode(F.filter("l", lambda x: x["side"] < 3)).alias("x")).select("x.code").distinct().agg(F.count("*").alias("h1"))
+    n, m = F.col("n"), F.col("m")
+    rest = each.agg(F.count_if((n == 0) | (m == 0)).alias("alone"), (F.count_if((n > 0) & (m > 0) & (n != m)) * 2).alias("copy_count"), F.coalesce(F.sum(F.when((n > 0) & (m > 0), F.abs(n - m))), F.lit(0)).alias("copy_difference"))
+    return near.join(F.broadcast(rest)).select("h1", (F.col("alone") - F.col("h1")).alias("h_many"), "copy_count", "copy_difference")
 
 
 @query(f"""WITH {DNA}, {_kmers(6)}, u AS (SELECT DISTINCT {_CODE} AS code FROM kmers), b AS (SELECT 0 AS side, code & CAST(3689348814741910323 AS BIGINT) AS part FROM u UNION ALL SELECT 1, code & CAST(922337203685477580 AS BIGINT) FROM u)

@@ -283,7 +283,10 @@ def vcf_contig_runs(spark, sf_dir):
     return runs.groupBy("sample_name").agg(F.count("*").alias("n_contigs"), F.sum("runs").alias("n_runs"), F.count_if(F.col("runs") > 1).alias("n_repeated"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ALN}, b AS (SELECT contig, block, start0 + 1 AS s, start0 + length(replace(ref, '-', '')) AS e FROM aln), o AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY s, e, block) AS n FROM b),
+w AS (SELECT contig, block, n, CAST(e AS BIGINT) AS one, CAST(-1 AS BIGINT) AS two, 1 AS haplotype FROM o WHERE n = 1
+  UNION ALL SELECT o.contig, o.block, o.n, CASE WHEN o.s > one THEN o.e ELSE one END, CASE WHEN o.s <= one AND o.s > two THEN o.e ELSE two END, CASE WHEN o.s > one THEN 1 WHEN o.s > two THEN 2 ELSE 0 END FROM w JOIN o ON o.contig = w.contig AND o.n = w.n + 1)
+SELECT contig, block, CAST(haplotype AS INTEGER) AS haplotype FROM w""")
 def maf_diploid_split(spark, sf_dir):
     """Blocks of each contig dealt to two haplotypes; 0 marks what overlaps both."""
     blocks = aln(spark, sf_dir).select("contig", "block", (F.col("start0") + 1).alias("s"), (F.col("start0") + F.length(F.replace(F.col("ref"), F.lit("-"), F.lit("")))).alias("e"))
