@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from genomespark.operators.intervals import depth
 from genomespark.operators.ordered import Chunks
 from genomespark.operators.skew import ROWS
+from genomespark.runtime import cut
 
 
 def states(ref: Column, qry: Column) -> Column:
@@ -46,6 +47,7 @@ def coverage(runs: DataFrame, contig: str, identical: bool = False) -> DataFrame
 
 def coverage_percent(runs: DataFrame, sizes: DataFrame, contig: str) -> DataFrame:
     """(contig, num_region_bps, percent_cov, percent_id) over whole contigs; ``sizes`` is (contig, num_region_bps)."""
+    runs = cut(runs.where("state IN ('M', 'X')").select(contig, "state", "r_start", "r_end"))  # read for both shares
     total = lambda d, name: d.groupBy(contig).agg(F.sum(F.col("r_end") - F.col("r_start") + 1).alias(name))
     both = sizes.join(total(coverage(runs, contig), "c"), contig, "left").join(total(coverage(runs, contig, True), "i"), contig, "left")
     share = lambda n: F.coalesce(F.col(n), F.lit(0)) * F.lit(100.0) / F.col("num_region_bps")

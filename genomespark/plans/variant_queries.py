@@ -10,7 +10,7 @@ from genomespark.operators import mutations, reads
 from genomespark.operators import variants as V
 from genomespark.operators.packed import with_alleles
 from genomespark.plans.views import ALN, DNA, Book, aln, dna, protein
-from genomespark.runtime import table
+from genomespark.runtime import cut, table
 
 BOOK = Book()
 query = BOOK.query
@@ -166,7 +166,7 @@ def cov_pileup(spark, sf_dir):
 @query(f"WITH {_COLS}, c AS (SELECT contig, pos, count(*) FILTER (q <> '-') AS cov, count(*) FILTER (q = r) AS ident FROM placed WHERE r <> '-' GROUP BY contig, pos) SELECT contig, CAST(20000 AS BIGINT) AS num_region_bps, round(count(*) FILTER (cov > 0) * 100.0 / 20000, 9) AS percent_cov, round(count(*) FILTER (ident > 0) * 100.0 / 20000, 9) AS percent_id FROM c GROUP BY contig")
 def cov_identity_percent(spark, sf_dir):
     """Covered and identical share of contigs of 20,000 letters."""
-    runs = M.column_runs(_aligned(spark, sf_dir))
+    runs = cut(M.column_runs(_aligned(spark, sf_dir)).drop("c_start", "width"))
     sizes = runs.select("contig").distinct().withColumn("num_region_bps", F.lit(20_000).cast("long"))
     out = M.coverage_percent(runs, sizes, "contig")
     return out.select("contig", "num_region_bps", F.round("percent_cov", 9).alias("percent_cov"), F.round("percent_id", 9).alias("percent_id"))
@@ -305,6 +305,6 @@ def maf_fill_haplotypes(spark, sf_dir):
 def cov_region_percent(spark, sf_dir):
     """Covered and identical share of positions 500 to 1,499 of each contig."""
     runs = M.column_runs(_aligned(spark, sf_dir)).where("r_end >= 500 AND r_start <= 1499 AND r_start <= r_end")
-    inside = runs.withColumn("r_start", F.greatest("r_start", F.lit(500))).withColumn("r_end", F.least("r_end", F.lit(1499)))
+    inside = cut(runs.withColumn("r_start", F.greatest("r_start", F.lit(500))).withColumn("r_end", F.least("r_end", F.lit(1499))))
     sizes = inside.select("contig").distinct().withColumn("num_region_bps", F.lit(1000))
     return M.coverage_percent(inside, sizes, "contig").select("contig", "percent_cov", "percent_id")
