@@ -2,17 +2,19 @@
 
 A hidden-event n-gram model stands between the words around each full stop that may end a sentence: the event "boundary"
 or "no boundary" is not seen, the words are.  The history of an event is the word before the mark; where that word is a
-number, or follows one, the word before it counts too (a trigram).  The word after the mark counts by its class (capital,
-small letter, number, script, ...).  All probabilities come from counts over the whole corpus, without labels:
+number, or follows one, the word before it counts too (a trigram), as do all frequent pairs of words before a mark.  The
+word after the mark counts by its class (capital, small letter, number, script, ...) and, within the class, as a word; a
+number, with its unit, by the word behind it.  All probabilities come from counts over the whole corpus, without labels:
 
 * The last full stop of a paragraph is an event that needs no guess.  A word that ends sentences stands at ends of
   paragraphs in a steady share of its cases; an abbreviation, however frequent, never does.
-* Expectation maximisation goes on from there to what follows a mark with and without a boundary.
+* Expectation maximisation goes on from there to what follows a mark with and without a boundary: first the classes, then
+  the words.  Words after certain boundaries begin sentences; words at all gaps without a mark do not.
 
 Words that hold less than one in ``RARE`` of all marks share the counts of their shape, so the model is bounded whatever
-the corpus.  Small corpora rest on beliefs that count as a few events (``_LEFT_PRIOR``).  Forward-backward over the marks
-between two certain boundaries gives the posteriors that decide; that a unit is a single short word is as unlikely as the
-corpus says, which couples neighbours.
+the corpus.  Small corpora rest on beliefs that count as a few events (``_LEFT_PRIOR``).  Forward-backward from one certain
+boundary to the next, both included, gives the posteriors that decide; that a unit is a single short word is as unlikely as
+the corpus says, which couples neighbours.  At a gap without a mark the event is known to be none.
 
 What the definition fixes is no guess and goes before the model: blank lines, full stops of scripts that use them for
 nothing else, spaces in Thai, brackets and quotations inside a sentence, claims, marks inside formulas and numbers.
@@ -26,12 +28,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from math import exp, lgamma, log
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from genomespark.llm.leaks import _FORMAT
+
 # Abbreviations that a name, number or further word follows.
 BINDING = frozenset(
     """fig figs no nos vol vols ch chs chap sec secs sect p pp l ll col cols para paras pat pats app ser eq eqs eqn ref refs ex
@@ -68,6 +73,9 @@ _NUMBER = re.compile(r"[0-9٠-٩०-९][0-9٠-٩०-९.,·/–-]*[a-zA-Z]?\Z")
 _NEXT = re.compile(r"([\"“„«‘'(（「『【\[*_]*)(\S*)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 _UNIT = re.compile(r"[^\S\n]*(?:[°%‰µμΩ]|(?:[a-zA-Zµ]{1,4}(?:/[a-zA-Z]{1,4})?|bar|Gew|wt|volt|бар|мм|см|мкм|Гц)\b\.?)", re.I)
+_MIXED = re.compile(r"[a-z]{1,3}[A-Z]")
+_BEFORE_WORD, _AFTER_WORD = "\"“„«‘'(（「『【[*_", ".,;:!?…)]}\"'”»’*_。，；：！？।؟۔"
+_WORD_KINDS = {"cap": 1, "mixed": 2, "small": 3, "hangul": 4, "other": 5, "num": 6, "unit": 7}
 _PLAIN_NUMBER = re.compile(r"[0-9][0-9.,]*(?<![.,])\Z")
 _FIGURES = re.compile(r"[0-9][0-9.,]*")
 _MEASURES = frozenset("min max s h d l m g".split())
@@ -91,18 +99,85 @@ def _right(text: str, at: int, end: int) -> str:
         return "open" if m.group(1) else "none"
     c = word[0]
     tag = "q" if m.group(1) else ""
+    if c.isalpha():
+        return tag + _letter(c, word)
     if c.isdigit():
         n = _FIGURES.match(text, m.start(2), end)
         return tag + ("unit" if n and (u := _UNIT.match(text, n.end(), end)) and u.end() - n.end() > 1 and not text[n.end() : u.end()].strip() in ("was", "were", "and", "to", "of") else "num")
-    if _CJK.match(c):
-        return tag + "cjk"
+    return tag + (_letter(c, word) if c.isupper() or c.islower() or _CJK.match(c) else "sign")
+
+
+def _letter(c: str, word: str) -> str:
+    """The class of a word that begins with the letter ``c``."""
+    if c >= "\u3040" and _CJK.match(c):
+        return "cjk"
     if c.isupper() or c.istitle():
-        return tag + "cap"
+        return "cap"
     if c.islower():
-        return tag + ("mixed" if re.match(r"[a-z]{1,3}[A-Z]", word) else "small")
-    if c.isalpha():
-        return tag + ("hangul" if "가" <= c <= "힣" else "other")
-    return tag + "sign"
+        return "mixed" if _MIXED.match(word) else "small"
+    return "hangul" if "가" <= c <= "힣" else "other"
+
+
+@lru_cache(maxsize=1 << 16)
+def next_code(token: str, *behind: str) -> int:
+    """The number of a word that may follow a mark: 57 bits of a hash and its class (``token & 7``), 0 without a letter.
+
+    A number, with its unit, counts by the sign that ends it, else by the word behind it.  Han and Kana letters have no
+    blanks between words and count by their class alone.
+    """
+    if not token.isascii():
+        if _CJK.match(token):
+            return 0
+        token = _FORMAT.sub("", normalize("NFKC", token))
+    word = token.lstrip(_BEFORE_WORD).rstrip(_AFTER_WORD)
+    if not word:
+        return 0
+    if "0" <= word[0] <= "9":
+        text = " ".join([token, *behind])
+        kind = _right(text, 0, len(text)).removeprefix("q")
+        last, *rest = [token, *behind]
+        if kind == "unit" and rest:
+            last, *rest = rest[1:] if rest[1:2] == ["%"] else rest  # wt. %
+        word = "#" + (last[-1] if last[-1] in _AFTER_WORD and last != "wt." else rest[0].rstrip(_AFTER_WORD) if rest else "")
+    else:
+        kind = _letter(word[0], word) if word[0].isalpha() else ""
+    if kind not in _WORD_KINDS:
+        return 0
+    return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest()) >> 4 & ~7 | _WORD_KINDS[kind]
+
+
+@lru_cache(maxsize=1 << 16)
+def _number(token: str) -> str:
+    """A number without its figures."""
+    return "0" + (token[-1] if token[-1] in _AFTER_WORD else token.lstrip("0123456789.,"))
+
+
+def next_at(text: str, at: int, end: int) -> int:
+    """The number of the word that begins at ``at``."""
+    if text[at] >= "\u3040" and _CJK.match(text, at):
+        return 0
+    m = _NEXT.match(text, at, end)
+    token = m.group(2)
+    if "0" <= token[:1] <= "9":
+        return next_code(_number(token), *text[m.end() : min(end, m.end() + 60)].split(None, 3)[:3])
+    return next_code(token)
+
+
+def count_words(texts: list[str | None]) -> Counter[int]:
+    """How often each word stands in the texts, their first words left out."""
+    tokens, seen = Counter(), Counter()
+    for text in texts:
+        words = text.split() if text else []
+        tokens.update(words[1:])
+        tokens.update([(_number(w), *words[i + 1 : i + 4]) for i, w in enumerate(words) if "0" <= w < ":" and i])
+    code = next_code.__wrapped__
+    for token, n in tokens.items():
+        if isinstance(token, tuple):
+            seen[code(*token)] += n
+        elif not "0" <= token < ":":
+            seen[code(token)] += n
+    del seen[0]
+    return seen
 
 
 def _left(text: str, start: int, at: int) -> str:
@@ -119,9 +194,9 @@ def _two_words(text: str, start: int, at: int) -> tuple[str, str]:
 
 
 @lru_cache(maxsize=1 << 16)
-def _history(word: str, before: str) -> tuple[str, str, int]:
-    """What two words are as the history of a mark: the history, the class of the left context, and the event's number
-    without the right class.
+def _history(word: str, before: str) -> tuple[str, str, int, int]:
+    """What two words are as the history of a mark: the history, the class of the left context, the event's number without
+    the right class, and the number of the pair of words, 0 where there is but one.
 
     The history is ``word``, ``word|#`` after a number, or ``#n:before`` for a number of n figures.
     """
@@ -134,7 +209,9 @@ def _history(word: str, before: str) -> tuple[str, str, int]:
         name = bare + "|#" if after_number else bare
     left = _left_class(word, before)
     key = int.from_bytes(blake2b(name.encode("utf-8", "replace"), digest_size=8).digest()) >> 20
-    return name, left, key << 16 | _script(name.partition("|")[0]) << 13 | _LEFT_NO[left] * len(RIGHTS)
+    pair = f"{before}\0{word}".encode("utf-8", "replace") if before and word[0] != "<" else b""
+    pair_key = int.from_bytes(blake2b(pair, digest_size=8).digest()) >> 4 if pair else 0
+    return name, left, key << 16 | _script(name.partition("|")[0]) << 13 | _LEFT_NO[left] * len(RIGHTS), pair_key
 
 
 def _left_class(word: str, before: str) -> str:
@@ -229,6 +306,11 @@ def end_code(words: tuple[str, str]) -> int:
     return -2 - event_code(words, "none")
 
 
+def head_of(code: int) -> int:
+    """An event without its right class."""
+    return code - (code & 0x1FFF) % len(RIGHTS)
+
+
 def classes_of(code: int) -> tuple[str, str]:
     """The pair of classes of an event."""
     pair = code & 0x1FFF
@@ -245,28 +327,35 @@ class Splitter:
         full stop at the end of a paragraph), or the event of a guess.  Parts begin and end at characters that are not
         white space.
         """
-        starts, ends, codes = [], [], []
+        return self.events(text)[:3]
+
+    def events(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+        """As :meth:`segments`, with the word after each part (:func:`next_code`) and the two before (:func:`_history`)."""
+        starts, ends, codes, nexts, pairs = [], [], [], [], []
         if not text or text.isspace():
-            return starts, ends, codes
+            return starts, ends, codes, nexts, pairs
         for start, end in self._paragraphs(text):
             at = start
             cuts = self._cuts(text, start, end)
             if not cuts or cuts[-1][0] != end:
-                cuts.append((end, SURE))
-            for cut, code in cuts:
+                cuts.append((end, SURE, 0))
+            for cut, code, pair in cuts:
                 a, b = at, cut
                 while a < b and text[a].isspace():
                     a += 1
                 while b > a and text[b - 1].isspace():
                     b -= 1
                 if a < b:
+                    if codes:
+                        nexts.append(0 if codes[-1] < 0 and text[a] in "(0123456789" and _CLAIM.match(text, a, b) else next_at(text, a, end))
                     starts.append(a)
                     ends.append(b)
                     codes.append(code)
+                    pairs.append(pair)
                 elif codes and code < 0 <= codes[-1]:
-                    codes[-1] = SURE
+                    codes[-1], pairs[-1] = SURE, 0
                 at = cut
-        return starts, ends, codes
+        return starts, ends, codes, [*nexts, 0] if codes else nexts, pairs
 
     @staticmethod
     def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -293,7 +382,7 @@ class Splitter:
                 last = number(m)
         return at
 
-    def _cuts(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    def _cuts(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
         whole = end
         while start < end and text[start].isspace():
             start += 1
@@ -302,16 +391,16 @@ class Splitter:
         claims = self._claims(text, start, end)
         thai = bool(_HAS_THAI.search(text, start, end))
         if claims and not (thai and text.startswith("ข้อถือสิทธิ", start)):
-            return [(at, SURE) for at in claims[1:]]
+            return [(at, SURE, 0) for at in claims[1:]]
         body = text[start:end]
         found = list(_SCAN.finditer(body))
         sure: list[int] = claims[1:]
-        last = SURE
+        last, last_pair = SURE, 0
         spans = _spans(body, found) if any(m.group()[0] not in ".!?…。！？｡؟۔।॥‼⁇⁈⁉" for m in found) else {}
         if thai:
             inside = sorted(spans.items())
             sure += [start + m.end() for m in _THAI_GAP.finditer(body) if not any(a < m.start() < b for a, b in inside)]
-        guesses: list[tuple[int, int]] = []
+        guesses: list[tuple[int, int, int]] = []
         n, stop, closing = len(body), -1, {b: a for a, b in spans.items()}
         for m in found:
             mark, at, k = m.group(), m.start(), m.end()
@@ -337,7 +426,8 @@ class Splitter:
                 continue
             if k >= n:
                 if mark == "." and body[at - 1 : at].strip():
-                    last = end_code(_two_words(body, 0, at))
+                    words = _two_words(body, 0, at)
+                    last, last_pair = end_code(words), _history(*words)[3]
                 continue
             gap = body[k].isspace()
             nxt = k
@@ -382,9 +472,10 @@ class Splitter:
                 elif right in ("hangul", "other", "cjk") and prev.isalpha() and not prev.isascii():
                     sure.append(start + k)
                 continue
-            guesses.append((start + k, event_code(_two_words(body, 0, at), right)))
-        known = {at: code for at, code in guesses} | dict.fromkeys(sure, SURE) | {whole: last}
-        return sorted(known.items())
+            _, _, event, pair = _history(*_two_words(body, 0, at))
+            guesses.append((start + k, event + _RIGHT_NO[right], pair))
+        known = {at: (code, pair) for at, code, pair in guesses} | dict.fromkeys(sure, (SURE, 0)) | {whole: (last, last_pair)}
+        return [(at, *known[at]) for at in sorted(known)]
 
 
 # What is believed before any text is seen, as log odds of a boundary.
@@ -396,6 +487,12 @@ WEIGHT, SMOOTH = 100.0, 100.0
 _GRID, PRECISION = (0.002, 0.1, 0.25, 0.5, 0.75, 0.9, 0.998), 20.0
 #: What an unseen corpus is believed to say on units of fewer than six letters.
 ALONE = 0.05
+#: The log odds of a boundary that needs no guess.
+CERTAIN = 40.0
+#: Rounds of expectation maximisation over the words around the marks.
+ROUNDS = 2
+#: What sums of expected events belong to.
+WORD, PAIR = range(2)
 
 
 def left_prior(left: str) -> float:
@@ -408,18 +505,52 @@ def prior_odds(left: str, right: str) -> float:
     return left_prior(left) + _RIGHT_PRIOR.get(right.removeprefix("q") or right, 0.0)
 
 
+class Words:
+    """What the words around a mark say beyond the word before it and the class of the one after.
+
+    ``begin`` and ``inside`` are the shares of a word among those of its class that begin a sentence and that do not.
+    Counts of what follows one history without a boundary would not do: a word that ends one sentence of a template is
+    always followed by the beginnings of a few others, which such counts learn as if they went on.  ``pairs`` holds the
+    log odds that the two words before a mark add to those of the last.
+    """
+
+    def __init__(self) -> None:
+        self.begin: dict[int, float] = {}
+        self.inside: dict[int, float] = {}
+        self.pairs: dict[int, float] = {}
+
+    def of(self, nxt: int, pair: int) -> float:
+        """The log odds that the word after the mark and the two before it add."""
+        found = self.pairs.get(pair, 0.0)
+        x = nxt if nxt in self.begin else nxt & 7
+        return found + log(self.begin[x] / self.inside[x]) if x in self.begin else found
+
+
 class Model:
     """Log odds of a boundary for events, and how unlikely a unit of fewer than six letters is."""
 
-    def __init__(self, odds: dict[int, float] | None = None, alone: float = ALONE) -> None:
-        self.odds, self.alone = odds or {}, alone
-
-    def of(self, code: int) -> float:
-        """The log odds of an event: of its word, else of its shape, else what is believed."""
-        if (found := self.odds.get(code)) is not None:
-            return found
-        found = self.odds.get(code & 0xFFFF)
-        return found if found is not None else prior_odds(*classes_of(code))
+    def __init__(self, odds: dict[int, float] | None = None, alone: float = ALONE, words: Words | None = None) -> None:
+        self.odds, self.alone, self.words = odds or {}, alone, words or Words()
+        self._known: dict[tuple[int, int, int], float] = {}
+
+    def known(self, *event: int) -> float:
+        """As :meth:`of`, with the events met before remembered."""
+        found = self._known.get(event)
+        if found is None:
+            if len(self._known) >= 1 << 18:
+                self._known.clear()
+            found = self._known[event] = self.of(*event)
+        return found
+
+    def of(self, code: int, nxt: int = 0, pair: int = 0) -> float:
+        """The log odds of an event: of its word, else of its shape, else what is believed, and of the words around."""
+        found = self.odds.get(code)
+        if found is None:
+            code &= 0xFFFF
+            found = self.odds.get(code)
+            if found is None:
+                found = prior_odds(*classes_of(code))
+        return found + self.words.of(nxt, pair) if nxt or pair else found
 
 
 def posteriors(odds: list[float], short: list[bool], alone: float = ALONE) -> list[bool]:
@@ -448,11 +579,16 @@ def posteriors(odds: list[float], short: list[bool], alone: float = ALONE) -> li
     return out[::-1]
 
 
-def join_segments(starts: list[int], ends: list[int], codes: list[int], model: Model | dict[int, float]) -> list[tuple[int, int]]:
-    """The units of one text from its parts: parts are joined where the guess after them says no boundary."""
+def join_segments(starts: list[int], ends: list[int], codes: list[int], model: Model | dict[int, float], nexts: list[int] | None = None, pairs: list[int] | None = None) -> list[tuple[int, int]]:
+    """The units of one text from its parts: parts are joined where the guess after them says no boundary.
+
+    Forward-backward runs over the guesses with the certain boundaries on both sides of them, which the start of the text
+    is too; beyond a certain boundary nothing depends on them.
+    """
     model = model if isinstance(model, Model) else Model(model)
-    cut = [c < 0 for c in codes]
     i, n = 0, len(codes)
+    nexts, pairs = nexts or [0] * n, pairs or [0] * n
+    cut = [c < 0 for c in codes]
     while i < n:
         if codes[i] < 0:
             i += 1
@@ -460,8 +596,10 @@ def join_segments(starts: list[int], ends: list[int], codes: list[int], model: M
         j = i
         while j < n and codes[j] >= 0:
             j += 1
+        odds = [CERTAIN, *map(model.known, codes[i:j], nexts[i:j], pairs[i:j]), CERTAIN]
         # a part of fewer than six letters holds no more than a word or two
-        cut[i:j] = posteriors([model.of(c) for c in codes[i:j]], [ends[k] - starts[k] < 6 for k in range(i, j)], model.alone)
+        short = [False, *(ends[k] - starts[k] < 6 for k in range(i, min(j + 1, n)))]
+        cut[i:j] = posteriors(odds[: len(short)], short, model.alone)[1 : j - i + 1]
         i = j
     out, first = [], 0
     for k in range(n):
@@ -489,7 +627,12 @@ def _ends_sentences(ends: int, cases: int, share: float, believed: float) -> flo
 
 
 def train(counts: dict[int, int], rounds: int = 3, smooth: float = SMOOTH) -> dict[int, float]:
-    """Log odds of a boundary for each event, from counts of events.
+    """Log odds of a boundary for each event, from counts of events."""
+    return fit_classes(counts, rounds, smooth)[0]
+
+
+def fit_classes(counts: dict[int, int], rounds: int = 3, smooth: float = SMOOTH) -> tuple[dict[int, float], dict[int, float]]:
+    """Log odds of a boundary for each event, and the chance of one after each history, from counts of events.
 
     ``P(boundary | history) P(no end of a paragraph) P(right | boundary, script)`` stands against
     ``P(no boundary | history) P(right | no boundary, history)``.  The first factor comes from the certain events at ends
@@ -499,12 +642,11 @@ def train(counts: dict[int, int], rounds: int = 3, smooth: float = SMOOTH) -> di
     """
     ends: Counter[int] = Counter()  # by history: the code without the right class
     cells: dict[tuple[int, int], int] = {}
-    head = lambda code: code - (code & 0x1FFF) % len(RIGHTS)
     for code, n in counts.items():
         if code >= 0:
-            cells[head(code), (code & 0x1FFF) % len(RIGHTS)] = n
+            cells[head_of(code), (code & 0x1FFF) % len(RIGHTS)] = n
         elif code < SURE:
-            ends[head(-2 - code)] += n
+            ends[head_of(-2 - code)] += n
     cases = Counter(ends)
     for (h, _), n in cells.items():
         cases[h] += n
@@ -539,39 +681,128 @@ def train(counts: dict[int, int], rounds: int = 3, smooth: float = SMOOTH) -> di
             a, b = yes[h] * (1 - share) * begins, (1 - yes[h]) * goes_on
             post[h, r] = a / (a + b)
     clip = lambda p: min(max(p, 1e-11), 1 - 1e-11)
-    return {h + r: log(clip(p) / (1 - clip(p))) for (h, r), p in post.items()}
+    return {h + r: log(clip(p) / (1 - clip(p))) for (h, r), p in post.items()}, yes
+
+
+def fit_words(sums: dict[tuple[int, int, int], tuple[float, float]], seen: dict[int, int], yes: dict[int, float], smooth: float = SMOOTH) -> Words:
+    """One step of maximisation: what the words around the marks say, from the sums of :func:`expected_counts`.
+
+    ``seen`` tells how often a word stands anywhere but first in a text: where no mark stands before it, no sentence begins.
+    """
+    words = Words()
+    begin, every = Counter(), Counter()
+    logit = lambda p: log(p / (1 - p))
+    for (kind, a, b), (ends, n) in sums.items():
+        if kind == WORD:
+            begin[a], every[a] = ends, n
+        elif 0 < yes.get(a, 0.0) < 1:
+            words.pairs[b] = logit((ends + smooth * yes[a]) / (n + smooth)) - logit(yes[a])
+    # a discount of one event, as n-grams have it, keeps a few doubtful events from proving each other
+    inside = {x: max(seen.get(x, 0) - every[x], 0) + max(every[x] - begin[x] - 1, 0.0) for x in every.keys() | seen.keys()}
+    starts, stays, cases = Counter(), Counter(), Counter()
+    for x in inside:
+        starts[x & 7] += begin[x]
+        stays[x & 7] += inside[x]
+        cases[x & 7] += every[x] + 1
+    for x in inside:
+        c = x & 7
+        words.begin[x] = (begin[x] + smooth * (every[x] + 1) / cases[c]) / (starts[c] + smooth)
+        words.inside[x] = (inside[x] + smooth * words.begin[x]) / (stays[c] + smooth)
+    return words
 
 
 def segment_corpus(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, starts, ends, codes): the parts of every row's text (see :meth:`Splitter.segments`)."""
-    schema = T.StructType([df.schema[key], *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("starts", "ends")], T.StructField("codes", T.ArrayType(T.LongType()))])
+    """(key, starts, ends, codes, nexts, pairs, words, seen): the parts of every row's text (see :meth:`Splitter.events`).
+
+    The first row of a batch counts in ``seen`` how often each of ``words`` stands in the batch, first words of texts left out.
+    """
+    whole, long = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    kinds = {"starts": whole, "ends": whole, "codes": long, "nexts": long, "pairs": long, "words": long, "seen": long}
+    schema = T.StructType([df.schema[key], *[T.StructField(name, kind) for name, kind in kinds.items()]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter()
         for batch in batches:
-            found = [splitter.segments(t) for t in batch.column(1).to_pylist()]
-            lists = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[f.name for f in schema])
+            texts = batch.column(1).to_pylist()
+            found = [splitter.events(t) for t in texts]
+            seen = count_words(texts)
+            rest = [None] * (len(texts) - 1)
+            lists = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            counts = [pa.array([list(c), *rest][: len(texts)], pa.list_(pa.int64())) for c in (seen.keys(), seen.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *counts], names=[f.name for f in schema])
 
     return df.select(key, text).mapInArrow(work, schema)
 
 
-def event_counts(parts: DataFrame, rare: int = RARE) -> DataFrame:
-    """(code, n): how often each event occurs in the parts of :func:`segment_corpus`.
+def event_cells(parts: DataFrame, rare: int = RARE) -> DataFrame:
+    """(code, nxt, pair, n): how often each event occurs with which words around it in the parts of :func:`segment_corpus`.
 
     Words before less than one in ``rare`` of the marks come under their shape, so there are at most ``rare`` histories
-    besides the shapes, each with a few dozen events, whatever the corpus.
+    besides the shapes, each with a few dozen events, whatever the corpus.  Words after a mark and pairs of words before
+    it that are rarer than that come under the class of the word and as 0.
     """
     from genomespark.runtime import cut
 
-    events = parts.select(F.explode("codes").alias("code")).where(F.col("code") != SURE).groupBy("code").agg(F.count("*").alias("n"))
-    signed = cut(events.withColumn("event", F.when(F.col("code") < 0, -2 - F.col("code")).otherwise(F.col("code"))).withColumn("word", F.shiftright("event", 16)))
-    total = signed.agg(F.sum("n").alias("total"))
-    words = signed.groupBy("word").agg(F.sum("n").alias("m"))
-    frequent = words.join(F.broadcast(total), F.col("m") * rare >= F.col("total")).select("word", F.lit(True).alias("own"))
-    shape = F.col("event").bitwiseAND(F.lit(0xFFFF))
-    kept = signed.join(F.broadcast(frequent), "word", "left").withColumn("event", F.when(F.col("own"), F.col("event")).otherwise(shape))
-    return kept.groupBy(F.when(F.col("code") < 0, -2 - F.col("event")).otherwise(F.col("event")).alias("code")).agg(F.sum("n").alias("n"))
+    each = parts.select(F.explode(F.arrays_zip("codes", "nexts", "pairs")).alias("e")).select(F.col("e.codes").alias("code"), F.col("e.nexts").alias("nxt"), F.col("e.pairs").alias("pair"))
+    cells = cut(each.groupBy("code", "nxt", "pair").agg(F.count("*").alias("n")))
+    signed = cells.withColumn("event", F.when(F.col("code") < 0, -2 - F.col("code")).otherwise(F.col("code"))).withColumn("word", F.shiftright("event", 16))
+    marks = signed.where(F.col("code") != SURE)
+    total = marks.agg(F.sum("n").alias("total"))
+    for column, short in (("word", F.col("event")), ("nxt", F.col("nxt").bitwiseAND(F.lit(7))), ("pair", F.lit(0))):
+        counts = marks.groupBy(column).agg(F.sum("n").alias("m"))
+        frequent = counts.join(F.broadcast(total), F.col("m") * rare >= F.col("total")).select(column, F.lit(True).alias(f"own_{column}"))
+        signed = signed.join(F.broadcast(frequent), column, "left")
+        if column != "word":
+            signed = signed.withColumn(column, F.when(F.col(f"own_{column}"), F.col(column)).otherwise(short))
+    event = F.when(F.col("own_word"), F.col("event")).otherwise(F.col("event").bitwiseAND(F.lit(0xFFFF)))
+    code = F.when(F.col("code") == SURE, F.col("code")).when(F.col("code") < 0, -2 - event).otherwise(event)
+    return signed.groupBy(code.alias("code"), "nxt", "pair").agg(F.sum("n").alias("n"))
+
+
+def event_counts(parts: DataFrame, rare: int = RARE) -> DataFrame:
+    """(code, n): how often each event occurs, whatever the words around it."""
+    return _by_code(event_cells(parts, rare))
+
+
+def _by_code(cells: DataFrame) -> DataFrame:
+    return cells.where(F.col("code") != SURE).groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def expected_counts(cells: DataFrame, model: Model) -> DataFrame:
+    """(kind, a, b, ends, n): the expected number of boundaries, and of all cases, that the words around a mark take part in.
+
+    ``WORD``: before the word a; ``PAIR``: after the history a, of the pair of words b.  Certain boundaries count as what
+    they are.
+    """
+    shared = cells.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            sums: dict[tuple[int, int, int], list[float]] = {}
+            for code, nxt, pair, n in zip(*[c.to_pylist() for c in batch.columns]):
+                ends = n if code < 0 else n / (1 + exp(-known.of(code, nxt, pair)))
+                head = head_of(-2 - code if code < SURE else code)
+                keys = [(WORD, nxt, 0)] if nxt else []
+                if pair and code != SURE:
+                    keys.append((PAIR, head, pair))
+                for k in keys:
+                    cell = sums.setdefault(k, [0.0, 0.0])
+                    cell[0] += ends
+                    cell[1] += n
+            rows = [(*k, *v) for k, v in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.float64()) for i in range(5)], names=["kind", "a", "b", "ends", "n"])
+
+    found = cells.select("code", "nxt", "pair", "n").mapInArrow(work, "kind long, a long, b long, ends double, n double")
+    return found.groupBy("kind", "a", "b").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
+
+
+def seen_words(parts: DataFrame, cells: DataFrame) -> DataFrame:
+    """(word, n): how often the words of ``cells`` that follow a mark stand anywhere, all others by class."""
+    each = parts.where("words IS NOT NULL").select(F.explode(F.arrays_zip("words", "seen")).alias("e")).select(F.col("e.words").alias("nxt"), F.col("e.seen").alias("n"))
+    own = cells.select("nxt").distinct().withColumn("own", F.lit(True))
+    word = F.when(F.col("own"), F.col("nxt")).otherwise(F.col("nxt").bitwiseAND(F.lit(7)))
+    return each.join(F.broadcast(own), "nxt", "left").groupBy(word.alias("word")).agg(F.sum("n").alias("n"))
 
 
 def short_units(parts: DataFrame) -> float:
@@ -584,8 +815,22 @@ def short_units(parts: DataFrame) -> float:
 
 
 def train_model(parts: DataFrame) -> Model:
-    """The model of a corpus from the counts over all its parts."""
-    return Model(train({r.code: r.n for r in event_counts(parts).collect()}), short_units(parts))
+    """The model of a corpus from the counts over all its parts.
+
+    The classes around the marks come first, the words after them: each round of expectation maximisation sums what the
+    model of the round before expects of all events.
+    """
+    from genomespark.runtime import cut
+
+    cells = cut(event_cells(parts))
+    counts = {r.code: r.n for r in _by_code(cells).collect()}
+    odds, yes = fit_classes(counts)
+    seen = {r.word: r.n for r in seen_words(parts, cells).collect()}
+    model = Model(odds, short_units(parts))
+    for _ in range(ROUNDS):
+        sums = expected_counts(cells, model).collect()
+        model = Model(odds, model.alone, fit_words({(r.kind, r.a, r.b): (r.ends, r.n) for r in sums}, seen, yes))
+    return model
 
 
 def sentence_units(df: DataFrame, key: str, text: str, odds: Model | dict[int, float] | None = None) -> DataFrame:
@@ -606,12 +851,12 @@ def sentence_units(df: DataFrame, key: str, text: str, odds: Model | dict[int, f
         known = shared.value
         for batch in batches:
             rows, starts, ends = [], [], []
-            for i, part in enumerate(zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)])):
-                for a, b in join_segments(*part, known):
+            for i, (first, last, codes, nexts, pairs) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(1, 6)])):
+                for a, b in join_segments(first, last, codes, known, nexts, pairs):
                     rows.append(i)
                     starts.append(a)
                     ends.append(b)
             keys = batch.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[f.name for f in schema])
 
-    return parts.mapInArrow(work, schema)
+    return parts.drop("words", "seen").mapInArrow(work, schema)
