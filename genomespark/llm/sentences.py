@@ -27,9 +27,11 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain, compress, count, islice, pairwise
 from math import exp, lgamma, log
 from unicodedata import normalize
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,12 +54,15 @@ REFERENCE = frozenset("fig figs no nos vol ch sec p pp l ll nr abb abs tab tabl
 
 _MARKS = ".!?…"
 _FULL = "。！？｡．؟۔।॥‼⁇⁈⁉"
+_STOPS = _FULL.replace("．", "")
 _OPEN, _CLOSE = "([{（［｛「『【〈《“«„‘", ")]}）］｝」』】〉》”»“’"
 _PAIR = {")": "(（", "）": "(（", "」": "「", "』": "『", "】": "【", "〉": "〈", "》": "《", "”": "“„", "“": "„", "»": "«"}
-_SCAN = re.compile(r'[.!?…]+|[。！？｡؟۔।॥‼⁇⁈⁉]+|["()（）「」『』【】〈〉《》“”„«»]')
+# Patterns that begin with one set of letters: the scan for the first letter then runs over the set alone.
+_SCAN = re.compile(rf'["()（）「」『』【】〈〉《》“”„«»{_MARKS}{_STOPS}](?:(?<=[{_MARKS}])[{_MARKS}]+|(?<=[{_STOPS}])[{_STOPS}]+)?')
+_SIGNS = frozenset('"()（）「」『』【】〈〉《》“”„«»')
 _NEWLINE = r"(?>\r\n|[\n\r\x85\u2028\u2029])"
 _INLINE = r"[^\S\n\r\x85\u2028\u2029]"
-_BLANK = re.compile(rf"{_NEWLINE}{_INLINE}*(?:{_NEWLINE}{_INLINE}*)+")
+_BLANK = re.compile(rf"[\n\r\x85\u2028\u2029](?:(?<=\r)\n)?+{_INLINE}*(?:{_NEWLINE}{_INLINE}*)+")
 _BREAK = re.compile(_NEWLINE)
 _CLAIM = re.compile(
     r"[^\S\n\r]*(?:\(?([0-9]{1,3})[  ]?[.)、．:](?=\s|[^\W\d_])|(?:claim|anspruch|patentanspruch|revendication|пункт|청구항|दावा)\s+([0-9]{1,3})\s*[:.)]|【\s*請求項\s*([0-9０-９]{1,3})\s*】|【?청구항\s*([0-9]{1,3})】?|ข้อถือสิทธิที่\s*([0-9]{1,3})(?![0-9]))",
@@ -71,6 +76,7 @@ _WORD_BACK = re.compile(_LEFT.pattern.removesuffix(r"\Z"))  # on the letters bef
 _INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]\Z")
 _NUMBER = re.compile(r"[0-9٠-٩०-९][0-9٠-٩०-९.,·/–-]*[a-zA-Z]?\Z")
 _NEXT = re.compile(r"([\"“„«‘'(（「『【\[*_]*)(\S*)")
+_WORD = re.compile(r"\S+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 _UNIT = re.compile(r"[^\S\n]*(?:[°%‰µμΩ]|(?:[a-zA-Zµ]{1,4}(?:/[a-zA-Z]{1,4})?|bar|Gew|wt|volt|бар|мм|см|мкм|Гц)\b\.?)", re.I)
 _MIXED = re.compile(r"[a-z]{1,3}[A-Z]")
@@ -93,6 +99,13 @@ RARE = 100_000
 
 def _right(text: str, at: int, end: int) -> str:
     """The class of what follows at ``at`` (no white space there)."""
+    c = text[at] if at < end else ""
+    if "a" <= c <= "z":
+        return "mixed" if _MIXED.match(text, at, end) else "small"
+    if "A" <= c <= "Z":
+        return "cap"
+    if "0" <= c <= "9":
+        return _figures(text, at, end)
     m = _NEXT.match(text, at, end)
     word = m.group(2)
     if not word:
@@ -102,11 +115,16 @@ def _right(text: str, at: int, end: int) -> str:
     if c.isalpha():
         return tag + _letter(c, word)
     if c.isdigit():
-        n = _FIGURES.match(text, m.start(2), end)
-        return tag + ("unit" if n and (u := _UNIT.match(text, n.end(), end)) and u.end() - n.end() > 1 and not text[n.end() : u.end()].strip() in ("was", "were", "and", "to", "of") else "num")
+        return tag + _figures(text, m.start(2), end)
     return tag + (_letter(c, word) if c.isupper() or c.islower() or _CJK.match(c) else "sign")
 
 
+def _figures(text: str, at: int, end: int) -> str:
+    """The class of a number at ``at``: with a unit or without."""
+    n = _FIGURES.match(text, at, end)
+    return "unit" if n and (u := _UNIT.match(text, n.end(), end)) and u.end() - n.end() > 1 and not text[n.end() : u.end()].strip() in ("was", "were", "and", "to", "of") else "num"
+
+
 def _letter(c: str, word: str) -> str:
     """The class of a word that begins with the letter ``c``."""
     if c >= "\u3040" and _CJK.match(c):
@@ -146,7 +164,6 @@ def next_code(token: str, *behind: str) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest()) >> 4 & ~7 | _WORD_KINDS[kind]
 
 
-@lru_cache(maxsize=1 << 16)
 def _number(token: str) -> str:
     """A number without its figures."""
     return "0" + (token[-1] if token[-1] in _AFTER_WORD else token.lstrip("0123456789.,"))
@@ -154,7 +171,10 @@ def _number(token: str) -> str:
 
 def next_at(text: str, at: int, end: int) -> int:
     """The number of the word that begins at ``at``."""
-    if text[at] >= "\u3040" and _CJK.match(text, at):
+    c = text[at]
+    if "A" <= c <= "Z" or "a" <= c <= "z":
+        return next_code(_WORD.match(text, at, end).group())
+    if c >= "\u3040" and _CJK.match(c):
         return 0
     m = _NEXT.match(text, at, end)
     token = m.group(2)
@@ -168,8 +188,9 @@ def count_words(texts: list[str | None]) -> Counter[int]:
     tokens, seen = Counter(), Counter()
     for text in texts:
         words = text.split() if text else []
-        tokens.update(words[1:])
-        tokens.update([(_number(w), *words[i + 1 : i + 4]) for i, w in enumerate(words) if "0" <= w < ":" and i])
+        tokens.update(islice(words, 1, None))
+        low = compress(count(), map(":".__gt__, words))
+        tokens.update([(_number(w), *words[i + 1 : i + 4]) for i in low if (w := words[i]) >= "0" and i])
     code = next_code.__wrapped__
     for token, n in tokens.items():
         if isinstance(token, tuple):
@@ -187,10 +208,14 @@ def _left(text: str, start: int, at: int) -> str:
 
 def _two_words(text: str, start: int, at: int) -> tuple[str, str]:
     """The word that ends at ``at``, or an edge sign and the letter there, and the word before it."""
-    m = _WORD_BACK.match(text[max(start, at - 60) : at][::-1])
-    if not m:
-        return "<" + (text[at - 1] if at > start else ""), ""
-    return m.group()[::-1], _before(text, start, at - m.end())
+    near = text[max(start, at - 60) : at]
+    word = near.rsplit(None, 1)[-1] if near[-1:].isalnum() else ""
+    if not word.isalnum():  # letters and figures alone need no pattern
+        m = _WORD_BACK.match(near[::-1])
+        if not m:
+            return "<" + near[-1:], ""
+        word = m.group()[::-1]
+    return word, _before(text, start, at - len(word))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -208,10 +233,16 @@ def _history(word: str, before: str) -> tuple[str, str, int, int]:
     else:
         name = bare + "|#" if after_number else bare
     left = _left_class(word, before)
-    key = int.from_bytes(blake2b(name.encode("utf-8", "replace"), digest_size=8).digest()) >> 20
     pair = f"{before}\0{word}".encode("utf-8", "replace") if before and word[0] != "<" else b""
     pair_key = int.from_bytes(blake2b(pair, digest_size=8).digest()) >> 4 if pair else 0
-    return name, left, key << 16 | _script(name.partition("|")[0]) << 13 | _LEFT_NO[left] * len(RIGHTS), pair_key
+    return name, left, _name_code(name) | _LEFT_NO[left] * len(RIGHTS), pair_key
+
+
+@lru_cache(maxsize=1 << 16)
+def _name_code(name: str) -> int:
+    """The number of a history: 44 bits of a hash and the script, without the classes."""
+    key = int.from_bytes(blake2b(name.encode("utf-8", "replace"), digest_size=8).digest()) >> 20
+    return key << 16 | _script(name.partition("|")[0]) << 13
 
 
 def _left_class(word: str, before: str) -> str:
@@ -251,7 +282,7 @@ def _left_class(word: str, before: str) -> str:
 
 def _before(text: str, start: int, at: int) -> str:
     """The word before the one that begins at ``at``."""
-    part = text[max(start, at - 40) : at].split()
+    part = text[max(start, at - 40) : at].rsplit(None, 1)
     return part[-1].lstrip("(\"“„«") if part else ""
 
 
@@ -334,9 +365,10 @@ class Splitter:
         starts, ends, codes, nexts, pairs = [], [], [], [], []
         if not text or text.isspace():
             return starts, ends, codes, nexts, pairs
+        thai = not text.isascii() and bool(_HAS_THAI.search(text))
         for start, end in self._paragraphs(text):
             at = start
-            cuts = self._cuts(text, start, end)
+            cuts = self._cuts(text, start, end, thai)
             if not cuts or cuts[-1][0] != end:
                 cuts.append((end, SURE, 0))
             for cut, code, pair in cuts:
@@ -382,38 +414,42 @@ class Splitter:
                 last = number(m)
         return at
 
-    def _cuts(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    def _cuts(self, text: str, start: int, end: int, thai: bool) -> list[tuple[int, int, int]]:
         whole = end
         while start < end and text[start].isspace():
             start += 1
         while end > start and text[end - 1].isspace():
             end -= 1
         claims = self._claims(text, start, end)
-        thai = bool(_HAS_THAI.search(text, start, end))
+        thai = thai and bool(_HAS_THAI.search(text, start, end))
         if claims and not (thai and text.startswith("ข้อถือสิทธิ", start)):
             return [(at, SURE, 0) for at in claims[1:]]
         body = text[start:end]
         found = list(_SCAN.finditer(body))
         sure: list[int] = claims[1:]
         last, last_pair = SURE, 0
-        spans = _spans(body, found) if any(m.group()[0] not in ".!?…。！？｡؟۔।॥‼⁇⁈⁉" for m in found) else {}
+        marks = [m.group() for m in found]
+        spans = {} if _SIGNS.isdisjoint(marks) else _spans(body, found)
         if thai:
             inside = sorted(spans.items())
             sure += [start + m.end() for m in _THAI_GAP.finditer(body) if not any(a < m.start() < b for a, b in inside)]
         guesses: list[tuple[int, int, int]] = []
         n, stop, closing = len(body), -1, {b: a for a, b in spans.items()}
-        for m in found:
-            mark, at, k = m.group(), m.start(), m.end()
-            if at in spans and spans[at] > stop:
+        for mark, m in zip(marks, found):
+            at, k = m.span()
+            if mark in _SIGNS:
                 # the outermost span that is open
-                stop = spans[at]
-            if mark[0] not in _MARKS and mark[0] not in _FULL:
+                stop = max(stop, spans.get(at, -1))
+                continue
+            if mark == "." and k < n and at and body[k].isdigit() and body[at - 1].isdigit():
                 continue
             inside = at < stop
             opened = -1
             # closing quotes and brackets right after the mark belong to it
             while k < n:
                 c = body[k]
+                if c == " " and body[k + 1 : k + 2] != "»" or c.isalnum():
+                    break
                 if k in closing or c in "’”»」』】）〉》" or c in ")]" and inside or c in "*_" and body[k - 1] in ".!?":
                     opened = closing.get(k, opened)
                     k += 1
@@ -442,15 +478,15 @@ class Splitter:
                 elif alone and body[opened] in "(（[" and kind in ("cjk", "hangul", "other", "small"):
                     sure.append(start + k)
                 continue
-            if mark[0] in _FULL:
-                sure.append(start + k)
-                continue
             prev = body[at - 1] if at else " "
-            if mark[0] == "…" or mark.count(".") == len(mark) > 1:
-                if gap and right in ("cap", "mixed", "qcap") and not prev.isspace():
-                    sure.append(start + k)
-                continue
             if mark != ".":
+                if mark[0] in _FULL:
+                    sure.append(start + k)
+                    continue
+                if mark[0] == "…" or mark.count(".") == len(mark):
+                    if gap and right in ("cap", "mixed", "qcap") and not prev.isspace():
+                        sure.append(start + k)
+                    continue
                 spaced = prev.isspace()
                 word = body[:at].rstrip()[-2:] if spaced else prev
                 if spaced and not (word.isalpha() or word[-1:] in "»)”\""):
@@ -474,6 +510,8 @@ class Splitter:
                 continue
             _, _, event, pair = _history(*_two_words(body, 0, at))
             guesses.append((start + k, event + _RIGHT_NO[right], pair))
+        if not sure:
+            return [*guesses, (whole, last, last_pair)]
         known = {at: (code, pair) for at, code, pair in guesses} | dict.fromkeys(sure, (SURE, 0)) | {whole: (last, last_pair)}
         return [(at, *known[at]) for at in sorted(known)]
 
@@ -533,14 +571,17 @@ class Model:
         self.odds, self.alone, self.words = odds or {}, alone, words or Words()
         self._known: dict[tuple[int, int, int], float] = {}
 
-    def known(self, *event: int) -> float:
-        """As :meth:`of`, with the events met before remembered."""
-        found = self._known.get(event)
-        if found is None:
-            if len(self._known) >= 1 << 18:
-                self._known.clear()
-            found = self._known[event] = self.of(*event)
-        return found
+    def known(self, codes: list[int], nexts: list[int], pairs: list[int]) -> list[float]:
+        """As :meth:`of` for each event, with those met before remembered; ``CERTAIN`` for boundaries that need no guess."""
+        met, out = self._known, []
+        for event in zip(codes, nexts, pairs):
+            found = CERTAIN if event[0] < 0 else met.get(event)
+            if found is None:
+                if len(met) >= 1 << 18:
+                    met.clear()
+                found = met[event] = self.of(*event)
+            out.append(found)
+        return out
 
     def of(self, code: int, nxt: int = 0, pair: int = 0) -> float:
         """The log odds of an event: of its word, else of its shape, else what is believed, and of the words around."""
@@ -586,27 +627,26 @@ def join_segments(starts: list[int], ends: list[int], codes: list[int], model: M
     is too; beyond a certain boundary nothing depends on them.
     """
     model = model if isinstance(model, Model) else Model(model)
-    i, n = 0, len(codes)
-    nexts, pairs = nexts or [0] * n, pairs or [0] * n
-    cut = [c < 0 for c in codes]
-    while i < n:
-        if codes[i] < 0:
-            i += 1
+    n, done = len(codes), 0
+    odds = model.known(codes, nexts or [0] * n, pairs or [0] * n)
+    cut = [v > 0 for v in odds]
+    # a part of fewer than six letters holds no more than a word or two; chains without one are left at their own odds
+    small = [b - a < 6 for a, b in zip(starts, ends)]
+    for k in compress(range(n), small):
+        if k < done:
             continue
-        j = i
+        i = j = k
+        while i > 0 and codes[i - 1] >= 0:
+            i -= 1
         while j < n and codes[j] >= 0:
             j += 1
-        odds = [CERTAIN, *map(model.known, codes[i:j], nexts[i:j], pairs[i:j]), CERTAIN]
-        # a part of fewer than six letters holds no more than a word or two
-        short = [False, *(ends[k] - starts[k] < 6 for k in range(i, min(j + 1, n)))]
-        cut[i:j] = posteriors(odds[: len(short)], short, model.alone)[1 : j - i + 1]
-        i = j
-    out, first = [], 0
-    for k in range(n):
-        if cut[k]:
-            out.append((starts[first], ends[k]))
-            first = k + 1
-    return out
+        if i < j:
+            short = [False, *small[i : j + 1]]
+            cut[i:j] = posteriors([CERTAIN, *odds[i:j], CERTAIN][: len(short)], short, model.alone)[1 : j - i + 1]
+        done = j + 1
+    # a unit begins at the first part and after each cut
+    begins = compress(starts, chain([True], cut))
+    return list(zip(begins, compress(ends, cut)))
 
 
 def _ends_sentences(ends: int, cases: int, share: float, believed: float) -> float:
@@ -711,6 +751,19 @@ def fit_words(sums: dict[tuple[int, int, int], tuple[float, float]], seen: dict[
     return words
 
 
+def _to_arrow(lists: list[list[int]], kind: type) -> pa.ListArray:
+    """Lists of numbers as an array, all numbers at once."""
+    sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.fromiter(chain.from_iterable(lists), kind, places[-1])))
+
+
+def _to_lists(column: pa.ListArray) -> list[list[int]]:
+    """The other way round."""
+    places, values = column.offsets.to_numpy().tolist(), column.values.to_numpy().tolist()
+    return [values[a:b] for a, b in pairwise(places)]
+
+
 def segment_corpus(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, starts, ends, codes, nexts, pairs, words, seen): the parts of every row's text (see :meth:`Splitter.events`).
 
@@ -727,7 +780,7 @@ def segment_corpus(df: DataFrame, key: str, text: str) -> DataFrame:
             found = [splitter.events(t) for t in texts]
             seen = count_words(texts)
             rest = [None] * (len(texts) - 1)
-            lists = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            lists = [_to_arrow([f[i] for f in found], kind) for i, kind in enumerate((np.int32, np.int32, np.int64, np.int64, np.int64))]
             counts = [pa.array([list(c), *rest][: len(texts)], pa.list_(pa.int64())) for c in (seen.keys(), seen.values())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *counts], names=[f.name for f in schema])
 
@@ -851,7 +904,7 @@ def sentence_units(df: DataFrame, key: str, text: str, odds: Model | dict[int, f
         known = shared.value
         for batch in batches:
             rows, starts, ends = [], [], []
-            for i, (first, last, codes, nexts, pairs) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(1, 6)])):
+            for i, (first, last, codes, nexts, pairs) in enumerate(zip(*[_to_lists(batch.column(k)) for k in range(1, 6)])):
                 for a, b in join_segments(first, last, codes, known, nexts, pairs):
                     rows.append(i)
                     starts.append(a)
